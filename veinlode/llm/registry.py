@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from veinlode.llm import mixing
+from veinlode.llm import langid, mixing, mpeg_audio
 
-_QUERIES = {"op6_mixing": mixing.op6_mixing}
+_QUERIES = {
+    "op4_mpeg_audio": mpeg_audio.op4_mpeg_audio,
+    "op6_mixing": mixing.op6_mixing,
+    "op8_langid": langid.op8_langid,
+}
 _SQL = {"op6_mixing": mixing.ORACLE}
 
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veinlode.llm import langid, mixing, mpeg_audio, pieces
+from veinlode.llm import langid, mixing, mpeg_audio, pieces, sharding
 
 _QUERIES = {
     "op4_mpeg_audio": mpeg_audio.op4_mpeg_audio,
     "op5_pieces": pieces.op5_pieces,
     "op6_mixing": mixing.op6_mixing,
     "op8_langid": langid.op8_langid,
+    "op10_sharding": sharding.op10_sharding,
 }
 _SQL = {"op6_mixing": mixing.ORACLE}
 

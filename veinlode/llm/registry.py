@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from veinlode.llm import langid, mixing, mpeg_audio, pieces, sharding
+from veinlode.llm import langid, line_dedup, mixing, mpeg_audio, ngram_join, pieces, sharding
 
 _QUERIES = {
+    "op1_ngram_join": ngram_join.op1_ngram_join,
     "op4_mpeg_audio": mpeg_audio.op4_mpeg_audio,
     "op5_pieces": pieces.op5_pieces,
     "op6_mixing": mixing.op6_mixing,
     "op8_langid": langid.op8_langid,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
 _SQL = {"op6_mixing": mixing.ORACLE}

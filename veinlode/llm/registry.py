@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from veinlode.llm import langid, line_dedup, mixing, mpeg_audio, ngram_join, pieces, sharding
+from veinlode.llm import langid, line_dedup, mixing, mpeg_audio, ngram_join, pieces, sharding, suffix_dedup
 
 _QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op4_mpeg_audio": mpeg_audio.op4_mpeg_audio,
     "op5_pieces": pieces.op5_pieces,
     "op6_mixing": mixing.op6_mixing,
+    "op7_suffix_dedup": suffix_dedup.op7_suffix_dedup,
     "op8_langid": langid.op8_langid,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from veinlode.llm import langid, line_dedup, mixing, mpeg_audio, ngram_join, pieces, sharding, suffix_dedup
+from veinlode.llm import langid, line_dedup, lm_scoring, mixing, mpeg_audio, ngram_join, pieces, sharding, suffix_dedup
 
 _QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
+    "op2_lm_scoring": lm_scoring.op2_lm_scoring,
     "op4_mpeg_audio": mpeg_audio.op4_mpeg_audio,
     "op5_pieces": pieces.op5_pieces,
     "op6_mixing": mixing.op6_mixing,

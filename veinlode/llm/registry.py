@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from veinlode.llm import langid, line_dedup, lm_scoring, mixing, mpeg_audio, ngram_join, pieces, sharding, suffix_dedup
+from veinlode.llm import langid, line_dedup, lm_scoring, mixing, mpeg_audio, ngram_join, pieces, sharding, suffix_dedup, voronoi_join
 
 _QUERIES = {
     "op1_ngram_join": ngram_join.op1_ngram_join,
     "op2_lm_scoring": lm_scoring.op2_lm_scoring,
+    "op3_voronoi_join": voronoi_join.op3_voronoi_join,
     "op4_mpeg_audio": mpeg_audio.op4_mpeg_audio,
     "op5_pieces": pieces.op5_pieces,
     "op6_mixing": mixing.op6_mixing,
@@ -15,7 +16,7 @@ _QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
 }
-_SQL = {"op6_mixing": mixing.ORACLE}
+_SQL = {"op3_voronoi_join": voronoi_join.ORACLE, "op6_mixing": mixing.ORACLE}
 
 
 def queries() -> dict:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from veinlode.plans.queries import ORACLE, QUERIES
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(ORACLE)

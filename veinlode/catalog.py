@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veinlode.plans import more_queries  # noqa: F401  (registers its queries)
 from veinlode.plans.queries import ORACLE, QUERIES
 
 

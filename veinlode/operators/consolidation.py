@@ -16,5 +16,38 @@ def consolidate(signals: DataFrame) -> DataFrame:
     buckets = signals.groupBy("subject", "role", "value").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.when(sure, F.struct("sha", "family"))).alias("independent"))
     roles = buckets.groupBy("subject", "role").agg(F.count(F.lit(1)).alias("n_buckets"))
     out = buckets.join(roles, ["subject", "role"])
-    assessment = F.when(F.col("n_buckets") > 1, "conflicting").when(F.col("independent") > 1, "concordant").when(F.col("independent") == 1, "single_source").otherwise("weak")
+    assessment = F.when(F.col("n_buckets") > 1, "conflicting").when(F.col("independent") > 1, "concordant").when(F.col("independent") == 1, "single_or_correlated").otherwise("low_quality")
     return out.select("subject", "role", "value", "n", "independent", assessment.alias("assessment"))
+
+
+def proposals(buckets: DataFrame) -> DataFrame:
+    """Interval proposals of consolidated buckets: one valid_from with one valid_to of a subject become one interval,
+    a lone one stays open on the other side, other roles are points."""
+    single = buckets.where("assessment <> 'conflicting'")
+    at = lambda role, what: F.max(F.when(F.col("role") == role, F.col(what)))
+    bound = single.where(F.col("role").isin("valid_from", "valid_to")).groupBy("subject").agg(at("valid_from", "value").alias("start"), at("valid_to", "value").alias("end"), F.max("independent").alias("independent"))
+    point = single.where(~F.col("role").isin("valid_from", "valid_to")).select("subject", F.col("value").alias("start"), F.col("value").alias("end"), "independent")
+    semantics = F.when(F.col("end").isNull(), "open_end").when(F.col("start").isNull(), "open_start").otherwise("inclusive")
+    confidence = F.when(F.col("independent") > 1, "medium").otherwise("low")
+    return bound.unionByName(point).select("subject", "start", "end", semantics.alias("semantics"), confidence.alias("confidence"))
+
+
+def propagate(intervals: DataFrame, links: DataFrame, policy: str) -> DataFrame:
+    """Intervals of sources to targets over links(source, target).
+
+    ``explicit_copy`` needs exactly one interval over all sources, ``intersection`` takes the common part of the
+    sources' intervals, ``aggregation`` keeps all different ones. A target one of whose sources has no interval gets
+    none.
+    """
+    found = links.join(intervals.select(F.col("subject").alias("source"), "start", "end"), "source", "left")
+    lacking = links.join(intervals.select(F.col("subject").alias("source")).distinct(), "source", "left_anti").select("target").distinct()
+    found = found.join(lacking, "target", "left_anti")
+    if policy == "aggregation":
+        return found.select("target", "start", "end").distinct()
+    if policy == "explicit_copy":
+        one = found.groupBy("target").agg(F.count_distinct(F.struct("start", "end")).alias("n"), F.first(F.struct("start", "end")).alias("i"))
+        return one.where("n = 1").select("target", "i.start", "i.end")
+    if policy == "intersection":
+        both = found.groupBy("target").agg(F.max("start").alias("start"), F.min("end").alias("end"))
+        return both.where("start is null or end is null or start <= end")
+    raise ValueError(f"unknown policy {policy}")

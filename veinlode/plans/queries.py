@@ -166,7 +166,7 @@ SIGNALS = "sig AS (SELECT lang AS subject, source AS role, n_chars % 3 AS value,
 
 
 @query("t4_temporal_consolidation", f"""WITH {SIGNALS}, b AS (SELECT subject, role, value, count(*)::BIGINT AS n, count(DISTINCT CASE WHEN reliability <> 'low' THEN sha || family END)::BIGINT AS independent FROM sig GROUP BY ALL)
- SELECT *, CASE WHEN count(*) OVER (PARTITION BY subject, role) > 1 THEN 'conflicting' WHEN independent > 1 THEN 'concordant' WHEN independent = 1 THEN 'single_source' ELSE 'weak' END AS assessment FROM b""")
+ SELECT *, CASE WHEN count(*) OVER (PARTITION BY subject, role) > 1 THEN 'conflicting' WHEN independent > 1 THEN 'concordant' WHEN independent = 1 THEN 'single_or_correlated' ELSE 'low_quality' END AS assessment FROM b""")
 def temporal_consolidation(spark, d):
     docs = read(spark, d, "documents").where("doc_id % 2 = 0 or source < 'src15'")
     k = F.col("doc_id") % 3
@@ -268,7 +268,7 @@ def line_occurrences(spark, d):
 def chunk_texts(spark, d):
     docs = read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
     made = chunks.chunks(docs)
-    whole = made.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda c: c["text"]), "").alias("text"), F.bool_and(F.length("text") <= 2000).alias("within"))
+    whole = made.groupBy("id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ordinal", "text"))), lambda c: c["text"]), "").alias("text"), F.bool_and(F.length("text") <= chunks.SIZE).alias("within"))
     return whole.select(F.col("id").alias("doc_id"), identity.digest(F.col("text")).alias("sha"), "within")
 
 

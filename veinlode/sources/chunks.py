@@ -2,59 +2,58 @@
 
 from __future__ import annotations
 
+import bisect
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+SIZE, MINIMUM = 5000, 1
 _HEADING = re.compile(r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
-_FENCE = re.compile(r"^\s{0,3}(```|~~~)")
+_FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
+_BLANK = re.compile(r"\n[ \t]*\n+")
 
 
-def cut(text: str, size: int = 2000, minimum: int = 200, strategy: str = "headings") -> list[tuple[int, int, list[str]]]:
+def _headings(text: str) -> dict[int, tuple[int, str]]:
+    """Offset to (level, title) of the heading lines outside fenced code."""
+    found, at, fence = {}, 0, ""
+    for line in text.split("\n"):
+        mark = _FENCE.match(line)
+        if mark and not fence:
+            fence = mark[1]
+        elif mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
+            fence = ""
+        elif not fence and (m := _HEADING.match(line.rstrip("\r"))):
+            found[at] = (len(m[1]), m[2])
+        at += len(line) + 1
+    return found
+
+
+def cut(text: str, size: int = SIZE, minimum: int = MINIMUM, strategy: str = "headings") -> list[tuple[int, int, list[str]]]:
     """(start, end, heading path) of chunks of at most ``size`` characters that give the text back when joined.
 
-    The last boundary that is not too early and not too late is taken, else the text is cut hard. A heading outside
-    fenced code always starts a chunk unless the strategy is ``paragraph``.
+    A chunk ends before the next heading at the latest; of the paragraph ends in reach the last one is taken if the
+    chunk gets at least ``minimum`` characters, else the text is cut hard.
     """
-    ends, heads, at, fence = [], {}, 0, None
-    blank = False
-    for line in text.splitlines(keepends=True):
-        mark = _FENCE.match(line)
-        if mark:
-            fence = None if fence == mark[1] else fence or mark[1]
-        found = _HEADING.match(line.rstrip("\r\n")) if strategy == "headings" and not fence and not mark else None
-        if found:
-            heads[at] = (len(found[1]), found[2])
-        if blank and line.strip():
-            ends.append(at)
-        blank = not line.strip()
-        at += len(line)
-    marks = sorted({*ends, *heads, len(text)} - {0})
-    out, path, pos, k = [], [], 0, 0
+    heads = _headings(text) if strategy == "headings" else {}
+    marks = sorted({m.end() for m in _BLANK.finditer(text)} | set(heads) | {len(text)})
+    starts = sorted(heads)
+    out, path, pos, passed = [], [], 0, 0
     while pos < len(text):
-        if pos in heads:
-            level, title = heads[pos]
+        while passed < len(starts) and starts[passed] <= pos:
+            level, title = heads[starts[passed]]
             path = [p for p in path if p[0] < level] + [(level, title)]
-        while k < len(marks) and marks[k] <= pos:
-            k += 1
-        end, j = min(len(text), pos + size), k
-        best = None
-        while j < len(marks) and marks[j] <= pos + size:
-            if marks[j] in heads:
-                best = marks[j]
-                break
-            if marks[j] >= pos + minimum or marks[j] == len(text):
-                best = marks[j]
-            j += 1
-        end = best if best is not None else end
+            passed += 1
+        limit = min(len(text), pos + size, starts[passed] if passed < len(starts) else len(text))
+        best = marks[bisect.bisect_right(marks, limit) - 1] if marks[0] <= limit else 0
+        end = best if best >= pos + minimum else limit
         out.append((pos, end, [t for _, t in path]))
         pos = end
     return out
 
 
-def chunks(texts: DataFrame, size: int = 2000, minimum: int = 200, strategy: str = "headings") -> DataFrame:
+def chunks(texts: DataFrame, size: int = SIZE, minimum: int = MINIMUM, strategy: str = "headings") -> DataFrame:
     """(id, text) to one row per chunk: id, ordinal, char_start, char_end, heading_path, text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,12 +1,17 @@
 """Connected groups from bucketed candidates, without listing the pairs of a bucket.
 
-``classes`` compares the items that share a bucket only as far as the groups depend on it. In a round every live
-bucket names leaders (its smallest item, later the smallest of each of k hashed parts); all items of the bucket that
-are not yet in the leader's group are compared with it; verified links join groups; the leaders, having met every
-item of their bucket, leave it. Buckets whose items are all in one group are done. k grows fourfold from round to
-round, and rounds go on until no bucket is live, so two items of one bucket in different groups have been compared:
-no link that could join groups is lost, whatever the size of a bucket. Leaders come from partial aggregates and
-meet their buckets in an equi-join that Spark may split by rows, so a hot bucket needs no single task.
+``classes`` compares the items that share a bucket only as far as the groups depend on it:
+
+1. every bucket names its smallest item as leader, and each item is compared with the smallest of its leaders;
+2. items are compared with those leaders of theirs that are not in their group yet;
+3. buckets of one group are done. In the others, the items outside the bucket's largest group meet all items of
+   other groups, subject to a necessary condition on small facts of the two (``apart``); each takes its nearest;
+4. as 3, but with every pair left.
+
+Two items of one bucket that end up in different groups have so been compared or ruled out by ``apart``: no link that
+could join groups is lost, whatever the size of a bucket, and within a group no pairs are listed. Leaders come from
+partial aggregates and meet their buckets in equi-joins that Spark may split by rows, so a hot bucket needs no single
+task.
 """
 
 from __future__ import annotations
@@ -36,41 +41,46 @@ def components(links: DataFrame) -> DataFrame:
             return labels.select(F.col("u").alias("item"), F.col("l").alias("root"))
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], near: Callable[[Column, Column], Column]) -> tuple[DataFrame | None, DataFrame | None]:
-    """Groups over ``members`` (bucket, item, info).
+def classes(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], apart: Callable[[Column, Column], Column]) -> tuple[DataFrame | None, DataFrame | None]:
+    """Groups over ``members`` (bucket, item), each bucket with two items or more.
 
-    ``near`` is a necessary condition on the info of two items; ``verify`` takes pairs (a, b), a < b, and returns
-    those that are links. Returns (item, root) for linked items and the links found, or None and None.
+    ``facts`` is (item, info); ``apart`` makes of two infos a distance, or null if the items can't be a link;
+    ``verify`` takes pairs (a, b), a < b, and returns those that are links. Returns (item, root) for linked items and
+    the links found, or None and None.
     """
-    sizes = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    live = stash(members.join(sizes, "bucket"), "members")
-    roots, links, k, step = None, None, 1, 0
-    while not live.isEmpty():
-        if roots is None:
-            tagged = live.withColumn("root", F.col("item"))
-        else:
-            tagged = live.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item")).select("bucket", "item", "info", "root")
-        if step > 1:  # done are buckets of one group
-            mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-            tagged = tagged.join(mixed, "bucket", "left_semi")
-        tagged = stash(tagged, "members") if step else tagged
-        leaders = tagged.groupBy("bucket", F.pmod(F.xxhash64("item"), F.lit(k)).alias("part")).agg(F.min(F.struct("item", "root", "info")).alias("lead"))
-        leaders = stash(leaders.select("bucket", "lead"), "leaders")
-        met = tagged.join(leaders, "bucket").where((F.col("item") != F.col("lead.item")) & (F.col("root") != F.col("lead.root")) & near(F.col("info"), F.col("lead.info")))
-        if step == 0:  # most items need one comparison only
-            pairs = met.groupBy("item").agg(F.min("lead.item").alias("other"))
-        else:
-            pairs = met.select("item", F.col("lead.item").alias("other"))
+    spark = members.sparkSession
+    roots, links = None, None
+
+    def check(pairs: DataFrame) -> None:
+        nonlocal roots, links
         pairs = pairs.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct()
         new = stash(verify(pairs).select("a", "b").distinct(), "links")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             roots = components(links)
-        if step:  # the same leaders serve the first two rounds
-            seen = leaders.select("bucket", F.col("lead.item").alias("item"))
-            left = stash(tagged.join(seen, ["bucket", "item"], "left_anti").select("bucket", "item", "info"), "members")
-            forget(live.sparkSession, live)
-            forget(live.sparkSession, tagged)
-            live, k = left, k * 4
-        step += 1
+
+    def rooted(rows: DataFrame, item: str = "item", name: str = "root") -> DataFrame:
+        if roots is None:
+            return rows.withColumn(name, F.col(item))
+        return rows.join(roots.select(F.col("item").alias(item), F.col("root").alias("_root")), item, "left").withColumn(name, F.coalesce("_root", item)).drop("_root")
+
+    leaders = members.groupBy("bucket").agg(F.min("item").alias("other"))
+    met = stash(members.join(leaders, "bucket").where("item <> other").select("item", "other").distinct(), "leaders")
+    check(met.groupBy("item").agg(F.min("other").alias("other")))
+    if links is not None:
+        met = rooted(rooted(met), "other", "there").where("root <> there")
+    check(met)
+    for one in (True, False):
+        tagged = stash(rooted(members), "tagged")
+        mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        tagged = stash(tagged.join(mixed, "bucket").join(facts, "item").select("bucket", "item", "root", "info"), "tagged")
+        if tagged.isEmpty():
+            break
+        largest = tagged.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"))
+        few = tagged.join(largest, "bucket").where(F.col("root") != F.col("most.root")).select("bucket", F.col("item").alias("other"), F.col("root").alias("there"), F.col("info").alias("its"))
+        # of two items outside the largest group one order is enough
+        both = tagged.join(largest, "bucket").join(few, "bucket").where((F.col("root") != F.col("there")) & ((F.col("root") == F.col("most.root")) | (F.col("item") < F.col("other"))))
+        both = both.select("item", "other", apart(F.col("info"), F.col("its")).alias("apart")).where("apart is not null")
+        check(both.groupBy("other").agg(F.min_by("item", F.struct("apart", "item")).alias("item")) if one else both)
+        forget(spark, tagged)
     return roots, links

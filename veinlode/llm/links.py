@@ -16,29 +16,63 @@ task.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veinlode.llm.common import forget, stash
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(a, b) to (item, root): the smallest item that links lead to. Label passing with pointer jumping."""
-    both = stash(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).distinct(), "edges")
-    labels = stash(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("l")), "labels")
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Union-find over the (item, root) rows of one partition: every item but the smallest of its local group."""
+    up: dict = {}
+    kinds = None
+    for batch in batches:
+        kinds = batch.schema
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for z in (x, y):
+                up.setdefault(z, z)
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            while up[y] != y:
+                up[y] = y = up[up[y]]
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    if kinds is not None:
+        items = [x for x in up if up[x] != x]
+        tops = []
+        for x in items:
+            while up[x] != x:
+                x = up[x]
+            tops.append(x)
+        yield pa.RecordBatch.from_arrays([pa.array(items, kinds.field(0).type), pa.array(tops, kinds.field(1).type)], names=["item", "root"])
+
+
+def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(a, b) to (item, root): the smallest item that links lead to, for all items but the roots themselves.
+
+    ``known`` is such a result for links found before. Rows are contracted by union-find in each partition, dealt by
+    item, and followed to the root's own root; a task sees the rows of its partition only. It ends when every item
+    has one root and no root is an item.
+    """
+    spark = links.sparkSession
+    rows = links.select(F.greatest("a", "b").alias("item"), F.least("a", "b").alias("root"))
+    rows = rows if known is None else rows.unionByName(known.select("item", "root"))
+    schema = rows.schema
+    rows = stash(rows.mapInArrow(_joined, schema), "roots")
     while True:
-        near = both.join(labels.select(F.col("u").alias("v"), "l"), "v").groupBy("u").agg(F.min("l").alias("m"))
-        lower = labels.join(near, "u").select("u", F.least("l", "m").alias("n"), "l")
-        jump = labels.select(F.col("u").alias("n"), F.col("l").alias("far"))
-        # a label is an item, so it has a label itself
-        stepped = stash(lower.join(jump, "n").select("u", F.least("n", "far").alias("l"), (F.least("n", "far") != F.col("l")).alias("moved")), "labels")
-        forget(links.sparkSession, labels)
-        labels = stepped.select("u", "l")
-        if stepped.where("moved").isEmpty():
-            forget(links.sparkSession, both)
-            return labels.select(F.col("u").alias("item"), F.col("l").alias("root"))
+        ends = rows.select(F.col("item").alias("k"), F.col("root").alias("r"), F.lit(0).alias("is_root")).unionByName(rows.select(F.col("root").alias("k"), F.lit(None).cast(schema["root"].dataType).alias("r"), F.lit(1).alias("is_root")))
+        per = ends.groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("is_root").alias("is_root"))
+        if per.where("lo is not null and (lo < hi or is_root = 1)").isEmpty():
+            return rows.distinct()
+        dealt = stash(rows.repartition("item").mapInArrow(_joined, schema), "roots")
+        far = dealt.groupBy(F.col("item").alias("root")).agg(F.min("root").alias("far"))
+        jumped = stash(dealt.join(far, "root", "left").select("item", F.coalesce("far", "root").alias("root")), "roots")
+        forget(spark, rows)
+        rows = jumped
+        forget(spark, dealt)
 
 
 def classes(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], apart: Callable[[Column, Column], Column]) -> tuple[DataFrame | None, DataFrame | None]:
@@ -57,7 +91,7 @@ def classes(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame],
         new = stash(verify(pairs).select("a", "b").distinct(), "links")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
-            roots = components(links)
+            roots = components(new, roots)
 
     def rooted(rows: DataFrame, item: str = "item", name: str = "root") -> DataFrame:
         if roots is None:

@@ -12,7 +12,7 @@ Tokens are the lower-cased (A-Z) words of a text and one end. All training texts
    times (c + 0.5) / (N_b + 0.5 (V_b + 1)), with the bucket's training tokens N_b and different words V_b, so scores
    are log10 probabilities of the texts themselves, comparable with the base.
 
-Counts of rare words reach texts by a join on the word; only the ``KEPT`` most frequent go to all tasks. Equal texts
+Counts of rare words reach texts by a join on the word; only the most frequent, at most ``KEPT``, go to all tasks. Equal texts
 send their rare words once each and the sums are by text.
 
 Defined cases: a null text counts as empty and has one token, the end; a null id hashes like the empty text and so
@@ -84,7 +84,6 @@ class Vocabulary:
     def __init__(self, top: list[tuple[bytes, int]], n_texts: int, sums: dict[int, tuple[int, int]]):
         """``top``: most frequent words and counts; ``sums``: tokens and different words of each bucket, model words
         included."""
-        self.counts = dict(top)
         own = top[: CLASSES * WIDTH - BUCKETS - 1]
         left = {b: [*sums.get(b, (0, 0))] for b in range(BUCKETS)}
         for word, c in own:
@@ -104,17 +103,37 @@ class Vocabulary:
         self.base_log = math.log10(self.n + 0.5 * (self.v + 1))
         self.end_count = n_texts
 
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        get, of = self.id.get, self.of_bucket
-        out = [get(w, -1) for w in words]
-        ids = np.array([*out, self.end], np.int16)
-        for i in np.flatnonzero(ids < 0).tolist():
-            ids[i] = of[zlib.crc32(words[i][-3:]) % BUCKETS]
-        return ids
+        # per kept word: place, model id, log10 of its count for the base, and for the rest of its bucket
+        self.kept = {w: i for i, (w, _) in enumerate(top)}
+        buckets = [bucket(w) for w, _ in top]
+        self.kept_id = np.array([self.id.get(w, self.of_bucket[b]) for (w, _), b in zip(top, buckets)] + [0], np.int16)
+        logs = [math.log10(c + 0.5) for _, c in top]
+        self.kept_log = np.array([*logs, 0.0])
+        self.kept_rest = np.array([0.0 if w in self.id else x - self.bucket_log[b] for (w, _), b, x in zip(top, buckets, logs)] + [0.0])
+
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
+        """Model ids with the end, places among the kept words (-1: not kept), and buckets of the words not kept."""
+        get = self.kept.get
+        place = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
+        ids = np.empty(len(words) + 1, np.int16)
+        ids[:-1], ids[-1] = self.kept_id[place], self.end
+        rare = np.flatnonzero(place < 0)
+        buckets = [zlib.crc32(words[i][-3:]) % BUCKETS for i in rare.tolist()]
+        if buckets:
+            ids[rare] = np.array(self.of_bucket)[buckets]
+        return ids, place, buckets
 
 
 def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
-    top = counts.orderBy(F.desc("c"), "word").limit(KEPT).select("word", "c").toPandas()
+    # the kept words are those above a count that at most KEPT words reach; a histogram of a few hundred steps tells it
+    step = F.floor(F.log2("c") * 16).cast("int")
+    left, low = KEPT, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("step")).collect():
+        left -= r.n
+        if left < 0:
+            break
+        low = r.step
+    top = counts.where(F.lit(False) if low is None else step >= low).select("word", "c").toPandas().sort_values(["c", "word"], ascending=[False, True])
     sums = counts.groupBy("bucket").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     return Vocabulary([(bytes(w), int(c)) for w, c in zip(top["word"], top["c"])], n_texts, {r.bucket: (r.n, r.v) for r in sums})
 
@@ -131,7 +150,7 @@ def train(texts: DataFrame, vocab: Vocabulary, seed: int = 1) -> np.ndarray:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                ids = [shipped.value.ids(tokens(t)).tobytes() for t in part.column("text").to_pylist()]
+                ids = [shipped.value.look_up(tokens(t))[0].tobytes() for t in part.column("text").to_pylist()]
                 deal = [zlib.crc32(i, seed) for i in ids]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([d % TURNS for d in deal], pa.int32()), pa.array([d // TURNS for d in deal], pa.int64())], names=["ids", "turn", "deal"])
 
@@ -175,10 +194,10 @@ def rare_sums(docs: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFram
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                kept = shipped.value.counts
+                kept = shipped.value.kept
                 of, words, n = [], [], []
                 for i, text in enumerate(part.column("text").to_pylist()):
-                    left = Counter(w for w in tokens(text) if w not in kept)
+                    left = Counter([w for w in tokens(text) if w not in kept])
                     of += [i] * len(left)
                     words += left
                     n += left.values()
@@ -201,7 +220,6 @@ def score(docs: DataFrame, vocab: Vocabulary, params: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc, flat = shipped.value
         net = gru.unpack(flat, CLASSES, WIDTH, EMBED, HIDDEN)
-        log = {w: math.log10(c + 0.5) for w, c in voc.counts.items()}
         end_log = math.log10(voc.end_count + 0.5)
 
         def done() -> pa.RecordBatch:
@@ -215,16 +233,12 @@ def score(docs: DataFrame, vocab: Vocabulary, params: np.ndarray) -> DataFrame:
                 part = batch.slice(k, 1000)
                 fixed.append(part.drop_columns(["text"]))
                 for text in part.column("text").to_pylist():
-                    words = tokens(text)
-                    ids = voc.ids(words)
-                    logs = [log[w] for w in words if w in log]
-                    total = sum(logs) + end_log
-                    outside = [w for w in words if w not in voc.id]
+                    ids, place, buckets = voc.look_up(tokens(text))
                     held.append(ids)
                     sizes.append(len(ids))
-                    known.append(len(logs) + (voc.end_count > 0))
-                    base.append(total - len(ids) * voc.base_log)
-                    rest.append(sum([log.get(w, 0.0) - voc.bucket_log[zlib.crc32(w[-3:]) % BUCKETS] for w in outside]))
+                    known.append(len(place) - len(buckets) + (voc.end_count > 0))
+                    base.append(voc.kept_log[place].sum() + end_log - len(ids) * voc.base_log)
+                    rest.append(voc.kept_rest[place].sum() - sum([voc.bucket_log[b] for b in buckets]))
                     waiting += len(ids)
                 if waiting > SCORED:
                     yield done()

@@ -2,11 +2,10 @@
 
 ``classes`` compares the items that share a bucket only as far as the groups depend on it:
 
-1. every bucket names its smallest item as leader, and each item is compared with the smallest of its leaders;
-2. items are compared with those leaders of theirs that are not in their group yet;
-3. buckets of one group are done. In the others, the items outside the bucket's largest group meet all items of
+1. every bucket names its smallest item as leader, and items are compared with their leaders;
+2. buckets of one group are done. In the others, the items outside the bucket's largest group meet all items of
    other groups, subject to a necessary condition on small facts of the two (``apart``); each takes its nearest;
-4. as 3, but with every pair left.
+3. as 2, but with every pair left.
 
 Two items of one bucket that end up in different groups have so been compared or ruled out by ``apart``: no link that
 could join groups is lost, whatever the size of a bucket, and within a group no pairs are listed. Leaders come from
@@ -67,12 +66,11 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         per = ends.groupBy("k").agg(F.min("r").alias("lo"), F.max("r").alias("hi"), F.max("is_root").alias("is_root"))
         if per.where("lo is not null and (lo < hi or is_root = 1)").isEmpty():
             return rows.distinct()
-        dealt = stash(rows.repartition("item").mapInArrow(_joined, schema), "roots")
+        dealt = rows.repartition("item").mapInArrow(_joined, schema)  # the same rows whenever it is computed
         far = dealt.groupBy(F.col("item").alias("root")).agg(F.min("root").alias("far"))
         jumped = stash(dealt.join(far, "root", "left").select("item", F.coalesce("far", "root").alias("root")), "roots")
         forget(spark, rows)
         rows = jumped
-        forget(spark, dealt)
 
 
 def classes(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], apart: Callable[[Column, Column], Column]) -> tuple[DataFrame | None, DataFrame | None]:
@@ -93,19 +91,15 @@ def classes(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame],
             links = new if links is None else links.union(new)
             roots = components(new, roots)
 
-    def rooted(rows: DataFrame, item: str = "item", name: str = "root") -> DataFrame:
+    def rooted(rows: DataFrame) -> DataFrame:
         if roots is None:
-            return rows.withColumn(name, F.col(item))
-        return rows.join(roots.select(F.col("item").alias(item), F.col("root").alias("_root")), item, "left").withColumn(name, F.coalesce("_root", item)).drop("_root")
+            return rows.withColumn("root", F.col("item"))
+        return rows.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
 
     leaders = members.groupBy("bucket").agg(F.min("item").alias("other"))
-    met = stash(members.join(leaders, "bucket").where("item <> other").select("item", "other").distinct(), "leaders")
-    check(met.groupBy("item").agg(F.min("other").alias("other")))
-    if links is not None:
-        met = rooted(rooted(met), "other", "there").where("root <> there")
-    check(met)
+    check(members.join(leaders, "bucket").where("item <> other").select("item", "other"))
     for one in (True, False):
-        tagged = stash(rooted(members), "tagged")
+        tagged = rooted(members)
         mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         tagged = stash(tagged.join(mixed, "bucket").join(facts, "item").select("bucket", "item", "root", "info"), "tagged")
         if tagged.isEmpty():

@@ -170,8 +170,8 @@ class ShardStore:
 
 
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents arrive in 8 batches; each is appended, all are compacted, and every live row is listed with its
-    shard. Files of the test's size: the target follows from the table's bytes on disk only through its parameter."""
+    """All documents arrive in ``ARRIVALS`` batches by hash of the id; each is appended as a run, all are compacted,
+    and every live row is listed with its run, tier and file."""
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
     store.append_all(docs.withColumn("_shard_arrival", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(ARRIVALS))), "_shard_arrival")

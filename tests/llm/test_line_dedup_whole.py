@@ -1,0 +1,30 @@
+import random
+
+from tests.llm.test_line_dedup import _distance, _docs
+from veinlode.llm import line_dedup as ld
+
+
+def _edited(line, rng, words):
+    edge = list(line)
+    for i in rng.sample(range(len(line)), words):
+        edge[i] = "".join(rng.choice("abcdefghij") for _ in range(len(edge[i])))
+    return edge
+
+
+def test_near_lines_by_edit_similarity_alone(spark):
+    """Pairs of lines with one or two words replaced, judged by edit similarity only."""
+    rng = random.Random(11)
+    rows, want = [], set()
+    for i in range(240):
+        line = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(5, 61))]
+        copy = _edited(line, rng, 1 + i % 2)
+        a, b = " ".join(line), " ".join(copy)
+        rows += [(2 * i, a), (2 * i + 1, b)]
+        if _distance(a, b) <= 0.2 * max(len(a), len(b)):
+            want.add(2 * i + 1)
+    gone = {r.doc_id for r in ld.dedup_lines(_docs(spark, rows), whole=True).collect() if r.line_removed}
+    assert len(want) > 150 and gone <= want and len(gone) >= 0.97 * len(want)
+
+
+def test_query_takes_near_lines(spark):
+    assert sum(r.n_removed for r in ld.op9_line_dedup(spark, "/root/testdata/sf0.001").collect()) >= sum(r.line_removed for r in ld.dedup_lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect())

@@ -28,3 +28,9 @@ def test_near_lines_by_edit_similarity_alone(spark):
 
 def test_query_takes_near_lines(spark):
     assert sum(r.n_removed for r in ld.op9_line_dedup(spark, "/root/testdata/sf0.001").collect()) >= sum(r.line_removed for r in ld.dedup_lines(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect())
+
+
+def test_short_lines_by_exact_form(spark):
+    rows = [(1, "Home | About\n\n--\nshort line"), (2, "home about!\nshort lines\n\n--"), (3, "Short line.\nHOME  about"), (None, "short line")]
+    got = {r.doc_id: r.text for r in ld.dedup_lines(_docs(spark, rows), whole=True).collect()}
+    assert got == {1: "Home | About\n\n--\nshort line", 2: "short lines\n\n--", 3: "", None: ""}

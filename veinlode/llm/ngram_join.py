@@ -8,7 +8,9 @@ similarity 0.8 meets with probability 1 - (1 - 0.8^6)^24 = 0.9993, one of 0.5 wi
 Texts with the same words are one item from the start, so copies are never paired. ``links.classes`` settles which
 items are connected without listing the pairs of a bucket. What rules a pair out there is a bound without loss: every
 text has a map of 2048 bits, each the parity of the shingles that hash to it, and two maps differ in at most as many
-bits as the sets differ in shingles.
+bits as the sets differ in shingles. The links of each item are counted afterwards, over all pairs of different texts
+in its class: classes are dealt into chunks of about ``CHUNK`` items, and every two chunks are one block that
+intersects its sets and gives counts per item, not pairs.
 
 Defined cases: null and empty texts, or texts without a word, have no shingle and no link: each is a class of its
 own. A class is named by its smallest doc_id (nulls last). Repeated rows get the same result each; a null id can
@@ -37,6 +39,8 @@ _A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).a
 _BLOCK = 2048
 #: 64-bit words of a text's parity map.
 MAP = 32
+#: Items of a class that are counted against each other at a time, and shingles of a block's matrix.
+CHUNK, _WIDE = 1000, 4096
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -104,6 +108,69 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("item"), pa.array(made, pa.list_(pa.int64()))], names=["item", "grams"])
 
 
+def similar(one: list[np.ndarray], two: list[np.ndarray], threshold: float) -> np.ndarray:
+    """Which sets of ``one`` and ``two`` have at least the similarity ``threshold``."""
+    n = len(one)
+    sizes = np.array([len(s) for s in one + two])
+    of = np.repeat(np.arange(len(sizes)), sizes)
+    grams, place, times = np.unique(np.concatenate(one + two), return_inverse=True, return_counts=True)
+    both = times[place] > 1  # what one set alone has is in no intersection
+    of, place = of[both], (np.cumsum(times > 1) - 1)[place[both]]
+    order = np.argsort(place, kind="stable")
+    of, place = of[order], place[order]
+    common = np.zeros((n, len(two)), np.float32)
+    for k in range(0, int(place[-1]) + 1 if len(place) else 0, _WIDE):
+        at = slice(*np.searchsorted(place, (k, k + _WIDE)))
+        has = np.zeros((len(sizes), _WIDE), np.float32)
+        has[of[at], place[at] - k] = 1
+        common += has[:n] @ has[n:].T
+    return common >= threshold * (sizes[:n, None] + sizes[None, n:] - common.astype(np.float64))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """(item, n) of blocks that come one after the other: links of each item with the block's other chunk."""
+
+    def done() -> pa.RecordBatch:
+        sides = [{i: s for i, (c, s) in held.items() if c == chunk} for chunk in (key[1], key[2])]
+        if key[1] == key[2]:
+            sets = list(sides[0].values())
+            found = similar(sets, sets, threshold)
+            n, names = found.sum(axis=1) - found.diagonal(), list(sides[0])
+        elif all(sides):
+            found = similar(*[list(side.values()) for side in sides], threshold)
+            n, names = np.concatenate([found.sum(axis=1), found.sum(axis=0)]), [*sides[0], *sides[1]]
+        else:
+            n, names = np.empty(0), []
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n.astype(np.int64))], names=["item", "n"])
+
+    key, held = None, {}  # by item: repeated rows have their sets more than once
+    for batch in batches:
+        sets, ends = batch.column("grams").values.to_numpy(zero_copy_only=False), batch.column("grams").offsets.to_numpy()
+        rows = zip(*[batch.column(c).to_pylist() for c in ("root", "low", "high", "chunk", "item")])
+        for r, (root, low, high, chunk, item) in enumerate(rows):
+            if key != (root, low, high):
+                if held:
+                    yield done()
+                key, held = (root, low, high), {}
+            if item not in held:
+                held[item] = chunk, sets[ends[r] : ends[r + 1]].copy()
+    if held:
+        yield done()
+
+
+def degrees(roots: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
+    """(item, n_links) of all items of the classes ``roots``: links to different texts of the class."""
+    top = roots.select(F.col("root").alias("item"), "root").distinct()
+    members = roots.select("item", "root").unionByName(top)
+    sizes = members.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks"))
+    dealt = members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("item", "root", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
+    blocks = dealt.join(grams, "item").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    counted = blocks.mapInArrow(lambda batches: _counted(batches, threshold), "item binary, n long")
+    return counted.groupBy("item").agg(F.sum("n").alias("n_links"))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text as it is, and the text: rows that agree in the first two are repeated rows."""
     return docs.select("doc_id", F.xxhash64("text").alias("raw"), "text")
@@ -112,8 +179,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, raw, class_id, n_links, first): one row per row of ``docs``.
 
-    ``n_links`` counts the different texts that a verified link joins to this one, of the links that settled the
-    classes; ``first`` marks the rows that hold the class's first (doc_id, raw).
+    ``n_links`` counts the different texts of the class that are similar to this one; ``first`` marks the rows that hold the class's first (doc_id, raw).
     """
     rows = keyed(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
@@ -143,11 +209,11 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         differ = sum((F.bit_count(x["map"][i].bitwiseXOR(y["map"][i])) for i in range(MAP)), F.lit(0))
         return F.when((F.least(x["size"], y["size"]) >= threshold * F.greatest(x["size"], y["size"])) & (differ <= (x["size"] + y["size"]) * ((1 - threshold) / (1 + threshold)) + 1e-6), differ)
 
-    roots, links = classes(members, facts, verify, apart)
+    roots, _ = classes(members, facts, verify, apart)
     if roots is None:
         named = items.select("item", "place").withColumn("n_links", F.lit(0).cast("long"))
     else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("item")).groupBy("item").agg(F.count(F.lit(1)).alias("n_links"))
+        degree = degrees(roots, grams, threshold)
         rooted = items.select("item", "place").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
         lowest = rooted.groupBy("root").agg(F.min("place").alias("place"))
         named = rooted.drop("place").join(lowest, "root").join(degree, "item", "left").select("item", "place", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))

@@ -5,8 +5,9 @@ are merged by an agenda ordered by piece score and position, and each candidate
 when a keyed hash of seed, variant, chunk, position and piece falls under ``dropout``. Without dropout the result is
 the library's own. No piece holds a blank after another character, so a text is cut before every run of blanks (and
 around line ends when no longer piece holds one), each chunk is segmented by itself, and repeated chunks are kept.
-Every occurrence of a chunk takes one of ``VARIANTS`` segmentations, drawn by a hash of seed, text and place; the
-same text always gets the same ids for a seed.
+Every occurrence of a chunk has a variant of its own, of 2^32, drawn by a hash of seed, text and place. It takes the
+stored plain segmentation only if none of the merges that lead there is skipped; the same text always gets the same
+ids for a seed.
 
 Characters that are no piece become byte pieces, and so does the blank mark U+2581 when it stands in a text, so
 decoding gives every text back exactly. Control pieces are never matched by text.
@@ -32,9 +33,12 @@ from veinlode.llm.common import table
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
 SEED = 17
+#: The first variants, for comparisons; an occurrence has any of 2^32.
 VARIANTS = 2
 #: Entries of a worker's store of segmented chunks; chunks of LONG characters or more are not kept.
 KEPT = 300_000
+#: Chunks of texts that are encoded together.
+TOGETHER = 200_000
 LONG = 40
 _MARK = "▁"
 _M64 = (1 << 64) - 1
@@ -63,7 +67,7 @@ class Codec:
         self.rank = {vocab[i][0]: r for r, i in enumerate(self.of)}
         self.salt = np.random.default_rng(seed).integers(0, 2**32, len(order)).tolist()
         self.table = [b"" if kind in (2, 3) else bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(_MARK, " ").encode() for p, _, kind in vocab]
-        self.limit, self.seed, self.variants = int(dropout * 2**32), seed, VARIANTS if dropout else 1
+        self.limit, self.seed = int(dropout * 2**32), seed
         inner = any(len(p) > 1 and "\n" in p for p in self.rank) or any(_MARK in p.lstrip(_MARK) for p in self.rank)
         if any(_MARK in p.lstrip(_MARK) for p in self.rank):
             raise ValueError("a piece holds a blank after another character; chunks can't be told apart")
@@ -85,15 +89,23 @@ class Codec:
         self.chars[32] = self.chars[ord(_MARK)]
         self.ids = np.array([*self.of, -1], np.int64)
         self.salts = np.array([*self.salt, 0], np.uint64)
-        self.kept: list[dict[str, tuple[int, ...]]] = [{} for _ in range(self.variants)]
+        #: Plain ids of a chunk, and the pieces and places of the merges that lead there.
+        self.kept: dict[str, tuple[tuple[int, ...], np.ndarray, np.ndarray]] = {}
 
-    def segment(self, chunk: str, variant: int = 0) -> tuple[int, ...]:
+    def _key(self, chunk: str, variant: int) -> int:
+        return zlib.crc32(chunk.encode(), (self.seed * 0x9E3779B1 + variant * 0x85EBCA77) & 0xFFFFFFFF)
+
+    def _skipped(self, piece: np.ndarray, key: np.ndarray, i: np.ndarray) -> np.ndarray:
+        h = ((self.salts[piece] ^ key) + i.astype(np.uint64) * np.uint64(0x9E3779B1)) * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)
+        return h < np.uint64(self.limit)
+
+    def segment(self, chunk: str, variant: int = 0, plain: bool = False) -> tuple[int, ...]:
         """Ids of one chunk by agenda merging. Agenda entries are integers: rank, place, length from the top."""
         if chunk == _MARK:
             return tuple(self.byte[b] for b in chunk.encode())
         part = list(chunk.replace(" ", _MARK))
-        n, get, limit, salt = len(part), self.rank.get, self.limit, self.salt
-        key = zlib.crc32(chunk.encode(), (self.seed * 0x9E3779B1 + variant * 0x85EBCA77) & 0xFFFFFFFF) if limit else 0
+        n, get, limit, salt = len(part), self.rank.get, 0 if plain else self.limit, self.salt
+        key = self._key(chunk, variant) if limit else 0
         agenda = []
         left = part[0]
         for i in range(n - 1):
@@ -143,12 +155,14 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.none + 1)
 
-    def segment_many(self, chunks: list[str], variants: list[int]) -> list[tuple[int, ...]]:
+    def segment_many(self, chunks: list[str], variants: list[int], merges: list | None = None) -> list[tuple[int, ...]]:
         """``segment`` of many chunks side by side: in each step every chunk takes the first of its agenda.
 
         A chunk's agenda is a row of ranks, one per place, of the piece that starts there; taking the leftmost of
-        the smallest is what the agenda of ``segment`` does.
+        the smallest is what the agenda of ``segment`` does. With ``merges`` nothing is skipped, and (rows, pieces,
+        places) of every step are added there.
         """
+        limit = 0 if merges is not None else self.limit
         size = np.array([len(c) for c in chunks])
         wide, rows = int(size.max()), len(chunks)
         row = np.repeat(np.arange(rows), size)
@@ -163,8 +177,7 @@ class Codec:
         nxt = np.tile(np.arange(1, wide + 2), (rows, 1))
         prv = np.tile(np.arange(-1, wide), (rows, 1))
         nxt[np.arange(rows), size - 1] = wide  # the last column is no character
-        seeds = [(self.seed * 0x9E3779B1 + v * 0x85EBCA77) & 0xFFFFFFFF for v in range(self.variants)]
-        key = np.array([zlib.crc32(c.encode(), seeds[v]) for c, v in zip(chunks, variants)] if self.limit else np.zeros(rows), np.uint64)
+        key = np.array([self._key(c, v) for c, v in zip(chunks, variants)] if limit else np.zeros(rows), np.uint64)
         live = np.arange(rows)
         while len(live):
             rows_ranks = agenda[live]
@@ -174,9 +187,10 @@ class Codec:
             live, i, piece = live[some], i[some], piece[some]
             agenda[live, i] = self.none + 1
             r = live
-            if self.limit:
-                h = ((self.salts[piece] ^ key[r]) + i.astype(np.uint64) * np.uint64(0x9E3779B1)) * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)
-                take = h >= np.uint64(self.limit)
+            if merges is not None:
+                merges.append((r, piece, i))
+            if limit:
+                take = ~self._skipped(piece, key[r], i)
                 r, i, piece = r[take], i[take], piece[take]
             j = nxt[r, i]
             part[r, i] = piece
@@ -195,7 +209,7 @@ class Codec:
         strange[np.flatnonzero((alive & (part == self.none)).any(axis=1))] = True
         flat, at, out = flat.tolist(), 0, []
         for chunk, variant, odd, end in zip(chunks, variants, strange.tolist(), ends):
-            out.append(self.segment(chunk, variant) if odd else tuple(flat[at:end]))
+            out.append(self.segment(chunk, variant, merges is not None) if odd else tuple(flat[at:end]))
             at = end
         return out
 
@@ -203,53 +217,69 @@ class Codec:
         return self.encode_all([text])[0]
 
     def encode_all(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts; chunks that are not known yet are segmented together."""
-        if sum(map(len, self.kept)) > KEPT:
-            for known in self.kept:
-                known.clear()
-        cut = [self.chunks.findall(" " + t) if t else [] for t in texts]
-        picks = [self._pick(t, len(c)) for t, c in zip(texts, cut)]
-        new: dict[tuple[str, int], None] = {}
-        for chunks, pick in zip(cut, picks):
-            for chunk, variant in zip(chunks, pick):
-                if chunk not in self.kept[variant]:
-                    new[chunk, variant] = None
-        longs = {}
-        todo = sorted((len(c), v, c) for c, v in new if c != _MARK)
-        if any(c == _MARK for c, _ in new):
-            for known in self.kept:
-                known[_MARK] = self.segment(_MARK)
-        while todo and todo[-1][0] >= LONG:
-            _, v, c = todo.pop()
-            longs[c, v] = self.segment(c, v)
-        for k in range(0, len(todo), 4096):
-            block = todo[k : k + 4096]
-            made = self.segment_many([c for _, _, c in block], [v for _, v, _ in block])
-            for (_, v, c), ids in zip(block, made):
-                self.kept[v][c] = ids
-        out = []
-        for chunks, pick in zip(cut, picks):
+        """Ids of texts, about ``TOGETHER`` chunks at a time."""
+        out, cut, n = [], [], 0
+        for t in texts:
+            cut.append((t, self.chunks.findall(" " + t) if t else []))
+            n += len(cut[-1][1])
+            if n >= TOGETHER:
+                out += self._encode(cut)
+                cut, n = [], 0
+        return out + self._encode(cut)
+
+    def _learn(self, chunks: list[str]) -> None:
+        """Store the plain segmentations of chunks under ``LONG`` characters, made side by side."""
+        chunks = sorted(chunks, key=lambda c: (len(c), c))
+        for k in range(0, len(chunks), 4096):
+            block, merges = chunks[k : k + 4096], []
+            made = self.segment_many(block, [0] * len(block), merges)
+            row, piece, at = (np.concatenate(x) for x in zip(*merges)) if merges else (np.empty(0, np.int64),) * 3
+            order = np.argsort(row, kind="stable")
+            ends = np.searchsorted(row[order], np.arange(1, len(block)))
+            for c, ids, p, i in zip(block, made, np.split(piece[order], ends), np.split(at[order], ends)):
+                self.kept[c] = ids, p, i
+
+    def _encode(self, cut: list[tuple[str, list[str]]]) -> list[list[int]]:
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        names: dict[str, int] = {}
+        index = np.array([names.setdefault(c, len(names)) for _, chunks in cut for c in chunks], np.int64)
+        known, none = self.kept, np.empty(0, np.int64)
+        self._learn([c for c in names if c not in known and len(c) < LONG and c != _MARK])
+        known[_MARK] = self.segment(_MARK), none, none
+        plain = [known[c] if c in known else (None, none, none) for c in names]
+        flat = [plain[k][0] for k in index.tolist()]
+        texts = [c for _, chunks in cut for c in chunks]
+        variants = np.concatenate([self._pick(t, len(chunks)) for t, chunks in cut]).tolist() if cut else []
+        if self.limit:
+            sizes = np.array([len(p) for _, p, _ in plain], np.int64)
+            first, own = np.cumsum(sizes) - sizes, sizes[index]
+            at = np.repeat(first[index] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            key = np.array([self._key(c, v) for c, v in zip(texts, variants)], np.uint64)
+            piece, place = (np.concatenate([none, *[p[k] for p in plain]])[at] for k in (1, 2))
+            of = np.repeat(np.arange(len(index)), own)
+            again = np.unique(of[self._skipped(piece, key[of], place)]).tolist()
+            again.sort(key=lambda k: len(texts[k]))
+            for k in range(0, len(again), 4096):
+                block = again[k : k + 4096]
+                for j, ids in zip(block, self.segment_many([texts[j] for j in block], [variants[j] for j in block])):
+                    flat[j] = ids
+        out, j = [], 0
+        for _, chunks in cut:
             ids: list[int] = []
-            extend, known = ids.extend, self.kept
-            if self.variants == 1:
-                get = known[0].get
-                for chunk in chunks:
-                    extend(get(chunk) or longs[chunk, 0])
-            else:
-                for chunk, variant in zip(chunks, pick):
-                    extend(known[variant].get(chunk) or longs[chunk, variant])
+            for k in range(j, j + len(chunks)):
+                ids.extend(self.segment(texts[k], variants[k]) if flat[k] is None else flat[k])
+            j += len(chunks)
             out.append(ids)
         return out
 
-    def _pick(self, text: str, n: int) -> bytes:
+    def _pick(self, text: str, n: int) -> np.ndarray:
         """Variants of a text's chunks, by hash of seed, text and place."""
-        if self.variants == 1:
-            return bytes(n)
         x = np.arange(n, dtype=np.uint64) + np.uint64(zlib.crc32(text.encode(), self.seed & 0xFFFFFFFF) << 20)
         x *= np.uint64(0x9E3779B97F4A7C15)
         x ^= x >> np.uint64(31)
         x *= np.uint64(0xBF58476D1CE4E5B9)
-        return ((x >> np.uint64(40)) % np.uint64(self.variants)).astype(np.uint8).tobytes()
+        return x >> np.uint64(32)
 
     def decode(self, ids) -> str:
         raw = b"".join(map(self.table.__getitem__, ids))

@@ -6,12 +6,13 @@ size; merging continues until no tier holds enough runs. Every change is a new m
 runs; it is written beside its place and renamed into it without overwriting, so a version is there whole or not at
 all, a reader sees one version throughout, and of two writers of one version one fails and may try again. A run's
 folder counts only through a manifest, so what a failed or repeated task leaves is never read. Folders that no
-manifest of the last ``keep`` versions names are deleted by ``vacuum``.
+manifest of the last ``keep`` versions names are deleted by ``vacuum``, which only runs when it is called.
 
 Merging reads shards in Spark partitions of a scan and narrows them to the wanted number of files; no row is
 shuffled. The driver holds one manifest entry per live run, never file lists of rows.
 
-Defined cases: nulls anywhere, repeated rows and any further columns are stored as they are; an empty arrival makes
+Defined cases: nulls anywhere, repeated rows and any further columns are stored as they are, also if arrivals differ
+in columns (then null where an arrival has none); an empty arrival makes
 no run; an empty table has a manifest without runs and gives no rows. Column names that start with ``_shard`` are
 this module's own.
 """
@@ -128,8 +129,8 @@ class ShardStore:
         out = None
         for r in runs:
             path = F.col("_metadata.file_name")
-            part = self.spark.read.parquet(f"{self.root}/runs/{r.name}").withColumns({"_shard_run": F.lit("+".join(r.arrivals)), "_shard_tier": F.lit(r.tier), "_shard_file": F.regexp_extract(path, r"part-(\d+)", 1).cast("int")})
-            out = part if out is None else out.unionByName(part)
+            part = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/runs/{r.name}").withColumns({"_shard_run": F.lit("+".join(r.arrivals)), "_shard_tier": F.lit(r.tier), "_shard_file": F.regexp_extract(path, r"part-(\d+)", 1).cast("int")})
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
 
     def compact(self) -> int:
@@ -149,12 +150,11 @@ class ShardStore:
                 self.commit(version + 1, [r for r in live if r not in old] + ([merged] if merged else []))
             except ConflictError:
                 continue  # another writer came first: plan anew on its version
-            self.vacuum()
 
     def _merge(self, old: list[Run]) -> Run | None:
         name = f"merge-{uuid.uuid4().hex}"
         files = max(1, round(sum(r.bytes for r in old) / self.target))
-        rows = self.spark.read.parquet(*[f"{self.root}/runs/{r.name}" for r in old])
+        rows = self.spark.read.option("mergeSchema", "true").parquet(*[f"{self.root}/runs/{r.name}" for r in old])
         rows.coalesce(files).write.parquet(f"{self.root}/runs/{name}")
         return self._measured(name, tuple(sorted(a for r in old for a in r.arrivals)))
 

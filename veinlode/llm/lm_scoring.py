@@ -41,6 +41,8 @@ BUCKETS = 255
 KEPT = 50_000
 TRAINER_TOKENS = 4_000_000
 TURNS = 2
+#: Ids of a stream that are dealt together; longer texts are cut.
+STREAM = 65_536
 #: Words a task counts before it passes counts on, and ids it scores at a time.
 COUNTED, SCORED = 300_000, 6_000_000
 BLOCK = 4096
@@ -150,11 +152,15 @@ def train(texts: DataFrame, vocab: Vocabulary, seed: int = 1) -> np.ndarray:
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                ids = [shipped.value.look_up(tokens(t))[0].tobytes() for t in part.column("text").to_pylist()]
-                deal = [zlib.crc32(i, seed) for i in ids]
+                ids, deal = [], []
+                for doc, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
+                    stream = shipped.value.look_up(tokens(t))[0]
+                    for at in range(0, len(stream), STREAM):  # copies of a text and parts of a long one go to different trainers
+                        ids.append(stream[at : at + STREAM].tobytes())
+                        deal.append(zlib.crc32(f"{doc} {at}".encode(), zlib.crc32(ids[-1], seed)))
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([d % TURNS for d in deal], pa.int32()), pa.array([d // TURNS for d in deal], pa.int64())], names=["ids", "turn", "deal"])
 
-    streams = stash(texts.select("text").mapInArrow(encode, "ids binary, turn int, deal long"), "streams")
+    streams = stash(texts.select("doc_id", "text").mapInArrow(encode, "ids binary, turn int, deal long"), "streams")
     trainers = max(1, -(-vocab.n // TURNS // TRAINER_TOKENS) * TURNS)
     flat = gru.pack(first)
     for turn in range(TURNS):
@@ -162,21 +168,29 @@ def train(texts: DataFrame, vocab: Vocabulary, seed: int = 1) -> np.ndarray:
         end = vocab.end
 
         def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            rows = [(d, r) for b in batches for d, r in zip(b.column("deal").to_pylist(), b.column("ids").to_pylist())]
-            if not rows:
+            net, held, n, total, who = gru.unpack(now.value, CLASSES, WIDTH, EMBED, HIDDEN), [], 0, 0, None
+            for batch in batches:
+                for d, r in zip(batch.column("deal").to_pylist(), batch.column("ids").to_pylist()):
+                    who = d if who is None else who
+                    held.append(r)
+                    n += len(r) // 2
+                    if n >= 2 * TRAINER_TOKENS:  # no more than that is held, whatever the deal
+                        net, total = gru.train(net, np.frombuffer(b"".join(held), np.int16), end), total + n
+                        held, n = [], 0
+            if who is None:
                 return
-            rows.sort()  # the order of arrival is not fixed
-            ids = np.frombuffer(b"".join(r for _, r in rows), np.int16)
-            made = gru.pack(gru.train(gru.unpack(now.value, CLASSES, WIDTH, EMBED, HIDDEN), ids, end))
+            if held:
+                net, total = gru.train(net, np.frombuffer(b"".join(held), np.int16), end), total + n
+            made = gru.pack(net)
             parts = [made[k : k + BLOCK].astype(np.float32).tobytes() for k in range(0, len(made), BLOCK)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([len(ids)] * len(parts), pa.int64()), pa.array([rows[0][0]] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["block", "n", "who", "values"])
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([total] * len(parts), pa.int64()), pa.array([who] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["block", "n", "who", "values"])
 
         def average(part: pd.DataFrame) -> pd.DataFrame:
             part = part.sort_values(["who", "n"])
             values = np.stack([np.frombuffer(v, np.float32) for v in part["values"]]).astype(np.float64)
             return pd.DataFrame({"block": part["block"].iloc[:1], "values": [np.average(values, axis=0, weights=part["n"]).astype(np.float32).tobytes()]})
 
-        dealt = streams.where(F.col("turn") == turn).repartition(trainers, F.xxhash64("deal", F.length("ids")))
+        dealt = streams.where(F.col("turn") == turn).repartition(trainers, F.xxhash64("deal", F.length("ids"))).sortWithinPartitions("deal", "ids")  # the order of arrival is not fixed
         learned = dealt.select("ids", "deal").mapInArrow(learn, "block int, n long, who long, values binary")
         blocks = learned.groupBy("block").applyInPandas(average, "block int, values binary").collect()
         if blocks:

@@ -30,6 +30,8 @@ BINS = 1 << 13
 #: n-gram counts of a text are scaled as if it had at most so many n-grams, for the losses.
 EVIDENCE = 40.0
 MARGIN = 0.02
+#: Share of the training texts that may lie beyond ``reach``.
+FAR = 0.001
 _LETTER = re.compile(r"[^\W\d_]")
 _MAP = np.arange(256, dtype=np.uint8)
 _MAP[:128] = [c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 else 32 for c in range(128)]
@@ -92,10 +94,14 @@ class Model:
         n = np.maximum(x.sum(axis=1, keepdims=True), 1)
         return (x.astype(np.float32) @ self.weights) / n * np.minimum(n, EVIDENCE)
 
+    def losses(self, margins: np.ndarray) -> np.ndarray:
+        """Distances to the codewords."""
+        loss = np.stack([(np.logaddexp(0, -margins * row) * self.trust).sum(axis=1) for row in self.code.astype(float)], axis=1)
+        return loss / max(self.trust.sum(), 1e-9)
+
     def decode(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the nearest codeword, score and whether the runner-up is too near."""
-        loss = np.stack([(np.logaddexp(0, -margins * row) * self.trust).sum(axis=1) for row in self.code.astype(float)], axis=1)
-        loss /= max(self.trust.sum(), 1e-9)
+        loss = self.losses(margins)
         best = loss.argmin(axis=1)
         if loss.shape[1] == 1:
             return best, np.ones(len(best)), np.zeros(len(best), bool)
@@ -156,8 +162,34 @@ def train(labelled: DataFrame) -> Model:
     return model
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of ``docs`` plus lid_pred, lid_score and lid_ambiguous, predicted from ``text`` alone."""
+def reach(labelled: DataFrame, model: Model) -> float:
+    """The distance to the nearest codeword that no more than ``FAR`` of the training texts exceed, but at least ln 2:
+    a text beyond speaks against every codeword, not for none."""
+
+    def far(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(0, np.int64)
+        for batch in batches:
+            for _, x in _rows(_texts(batch)):
+                step = np.ceil(model.losses(model.margins(x)).min(axis=1) * 64).astype(np.int64)
+                more = np.bincount(step, minlength=len(n))
+                more[: len(n)] += n
+                n = more
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(n)), pa.int64()), pa.array(n, pa.int64())], names=["step", "n"])
+
+    used = labelled.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    found = used.mapInArrow(far, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).where("n > 0").orderBy(F.desc("step")).collect()
+    left, most = FAR * sum(r.n for r in found), 0.0
+    for r in found:
+        left -= r.n
+        if left < 0:
+            most = r.step / 64
+            break
+    return max(most, float(np.log(2))) + 1e-9
+
+
+def identify(docs: DataFrame, model: Model, within: float | None = None) -> DataFrame:
+    """All columns of ``docs`` plus lid_pred, lid_score and lid_ambiguous, predicted from ``text`` alone. Texts whose
+    nearest codeword is not ``within`` a distance are ``und``."""
     schema = docs.select("*", F.lit("").alias("lid_pred"), F.lit(0.0).alias("lid_score"), F.lit(False).alias("lid_ambiguous")).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +199,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             if model.langs:
                 names = np.array(model.langs, object)
                 for part, x in _rows(_texts(batch)):
-                    best, score[part], unsure[part] = model.decode(model.margins(x))
+                    margins = model.margins(x)
+                    best, score[part], unsure[part] = model.decode(margins)
                     pred[part] = names[best]
+                    if within is not None:
+                        away = np.array(part)[model.losses(margins).min(axis=1) > within]
+                        pred[away], score[away], unsure[away] = "und", 0.0, False
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(unsure)], names=schema.names)
 
     return docs.mapInArrow(predict, schema)

@@ -62,6 +62,13 @@ def remainder(doc_id: Column, n: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(n))
 
 
-def keep_columns(df: DataFrame, *names: str) -> DataFrame:
-    """Only the columns an operator reads, so that others can have any name."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for an operator's own columns that ``df`` doesn't have yet, whatever its letter case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out

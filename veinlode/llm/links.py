@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -112,3 +113,99 @@ def classes(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame],
         check(both.groupBy("other").agg(F.min_by("item", F.struct("apart", "item")).alias("item")) if one else both)
         forget(spark, tagged)
     return roots, links
+
+
+_STAR = "key long, a long, b long"
+
+
+def starred(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    """Blocks (key, id) as stars: a row (key, first id, null) for each block, (key, first id, id) for its other ids."""
+    order = np.lexsort((ids, keys))
+    keys, ids = keys[order], ids[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))
+    keep = new | np.concatenate(([True], ids[1:] != ids[:-1]))
+    first = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(first[keep]), pa.array(ids[keep], mask=new[keep])], names=["key", "a", "b"])
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges pass; of the first ids of a block, which come one after the other, the first becomes the others' centre."""
+    last, centre = None, None
+    for batch in batches:
+        edge = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+        keys, ids = batch.column("key").to_numpy()[~edge], batch.column("a").to_numpy()[~edge]
+        if len(keys):
+            new = np.concatenate(([last is None or keys[0] != last], keys[1:] != keys[:-1]))
+            at = np.flatnonzero(new)[np.cumsum(new) - 1] if new[0] else np.concatenate(([-1], np.flatnonzero(new)))[np.cumsum(new)]
+            first = np.where(at < 0, centre if centre is not None else 0, ids[at])
+            last, centre = keys[-1], first[-1]
+            more = ids != first
+            yield pa.RecordBatch.from_arrays([pa.array(keys[more]), pa.array(first[more]), pa.array(ids[more])], names=["key", "a", "b"])
+        if edge.any():
+            yield batch.filter(pa.array(edge))
+
+
+def meet(keyed: DataFrame) -> DataFrame:
+    """The edges (key, a, b) of the stars that tasks made with ``starred``, their centres joined to one of them.
+
+    A block sends one row per task to where it meets; edges are dealt by their item as well, so a block that holds
+    much of the table is no large group anywhere.
+    """
+    parts = max(int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")), 2 * keyed.rdd.getNumPartitions())
+    return keyed.repartition(parts, "key", "b").sortWithinPartitions("key", "a").mapInArrow(_met, _STAR)
+
+
+def settle(stars: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4) -> DataFrame | None:
+    """(item, root) of the items that links connect, from the edges (key, a, b) of blocks; None without a link.
+
+    ``verify`` takes pairs (a, b), a < b, and returns those that are links. Items of a block that are not in the group
+    of its centre meet the block's last item and, ``rounds`` times at most, a new centre among them; those that are
+    left then and share two blocks are blocks in their turn. A round has two rows at most for every row of a block, so
+    a block of many different items (a template) costs as much as it is large.
+    """
+    roots = None
+
+    def check(edges: DataFrame) -> None:
+        nonlocal roots
+        pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+        new = stash(verify(pairs).select("a", "b").distinct(), "links")
+        if not new.isEmpty():
+            before, roots = roots, components(new, roots)
+            if before is not None:
+                forget(edges.sparkSession, before)
+        forget(edges.sparkSession, new)
+
+    def apart(edges: DataFrame) -> DataFrame:
+        """(key, item, root) of the items that are not in the group of their centre."""
+        if roots is None:
+            return stash(edges.select("key", F.col("b").alias("item"), F.col("b").alias("root")), "apart")
+        both = edges.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "root"), "b", "left")
+        both = both.withColumn("ra", F.coalesce("ra", "a")).withColumn("root", F.coalesce("root", "b"))
+        return stash(both.where("ra <> root").select("key", F.col("b").alias("item"), "root"), "apart")
+
+    def centred(left: DataFrame) -> DataFrame:
+        centre = left.groupBy("key").agg(F.min(F.struct("item", "root")).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
+        return left.join(centre.select("key", "c"), "key").where("root <> c.root").select("key", F.col("c.item").alias("a"), F.col("item").alias("b"))
+
+    def rest(edges: DataFrame, left: DataFrame) -> DataFrame:
+        for _ in range(rounds - 1):
+            if edges.isEmpty():
+                break
+            check(edges)
+            before, left = left, apart(edges.where("not is_last") if "is_last" in edges.columns else edges)
+            forget(left.sparkSession, before)
+            edges = centred(left)
+        return left
+
+    check(stars)
+    left = apart(stars)
+    if left.isEmpty():
+        return roots
+    last = stars.groupBy("key").agg(F.max("b").alias("a"))
+    last = left.join(last, "key").where("a <> item").select("key", "a", F.col("item").alias("b"), F.lit(True).alias("is_last"))
+    left = rest(centred(left).withColumn("is_last", F.lit(False)).unionByName(last), left)
+    shared = left.join(left.select("item", F.col("key").alias("more")), "item").where("key < more")
+    shared = stash(shared.select(F.xxhash64("key", "more").alias("key"), "item", "root"), "apart")
+    forget(left.sparkSession, left)
+    forget(left.sparkSession, rest(centred(shared), shared))
+    return roots

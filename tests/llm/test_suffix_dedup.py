@@ -1,5 +1,6 @@
 import hashlib
 import random
+from contextlib import ExitStack
 
 import numpy as np
 import pytest
@@ -46,10 +47,10 @@ def _texts(seed):
     return texts
 
 
-@pytest.mark.parametrize("group", [500, 3])
-def test_matches_brute_force(spark, monkeypatch, group):
-    monkeypatch.setattr(sd, "GROUP", group)
-    texts = _texts(group)
+@pytest.mark.parametrize("many", [1000, 3])
+def test_matches_brute_force(spark, monkeypatch, many):
+    monkeypatch.setattr(sd, "MANY", many)
+    texts = _texts(many)
     docs = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts)], "doc_id long, text string, start int").repartition(3)
     out = sd.remove_repeats(docs)
     got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in out.collect()}
@@ -72,3 +73,41 @@ def test_nulls_and_repeats(spark):
     got = sorted(((r.doc_id, r.n_removed) for r in sd.remove_repeats(docs).collect()), key=str)
     assert got == sorted([(None, 500), (1, 500), (1, 500), (2, 0), (3, 0)], key=str)
     assert sd.remove_repeats(docs.where("false")).count() == 0
+
+
+def test_a_large_hot_group(spark, monkeypatch):
+    """Near copies of one passage: all pieces have common keys, and many parts one middle."""
+    monkeypatch.setattr(sd, "MANY", 50)
+    rng = random.Random(4)
+    base = "".join(rng.choices("abcdefgh ", k=1200))
+    texts = []
+    for _ in range(400):
+        t = list(base)
+        for k in rng.sample(range(1200), 2):
+            t[k] = rng.choice("XYZ")
+        texts.append("".join(t))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, len(r.spans), hashlib.sha256(r.kept).hexdigest()) for r in sd.remove_repeats(docs).collect()}
+    assert got == dict(enumerate(_brute(texts)))
+
+
+def test_transform():
+    """The transform's segments against plain sorting."""
+    rng = random.Random(9)
+    data = [bytes(rng.choices(b"ab", k=rng.randrange(402, 420))) for _ in range(20)]
+    left = np.array([rng.randrange(5) for _ in data])
+    groups = np.array([i % 2 for i in range(20)])
+    with ExitStack() as folder:
+        made = sd.Collection(groups, left, data, folder)
+        for x in range(made.columns - 1, -1, -1):
+            order, prefix = made.insert(x)
+            there = [i for i in range(20) if left[i] <= x < left[i] + len(data[i])]
+            suffix = {i: data[i][x - left[i] :] for i in there}
+            assert [(groups[i], suffix[i]) for i in order] == sorted((groups[i], suffix[i]) for i in there)
+            made.transform.seek(made.at)
+            before = made.transform.read(made.kept)
+            assert all(b == data[i][x - left[i] - 1] for b, i in zip(before, order) if x > left[i])
+            for k in range(1, len(order)):
+                a, b = suffix[order[k - 1]], suffix[order[k]]
+                n = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
+                assert prefix[k] == (min(n, 400) if groups[order[k]] == groups[order[k - 1]] else 0)

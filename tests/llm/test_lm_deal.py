@@ -23,7 +23,9 @@ def test_copies_are_dealt_to_several_trainers(spark, monkeypatch, tmp_path):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     texts = docs.select("doc_id", "text")
     counts = lm_scoring.count_words(texts)
-    first = lm_scoring.train(texts, lm_scoring.vocabulary(counts, len(rows)))
+    vocab = lm_scoring.vocabulary(counts, len(rows))
+    coded = lm_scoring.encoded(texts.withColumn("tk", lm_scoring._text_key()).select("doc_id", "tk", "text"), vocab)
+    first = lm_scoring.train(coded, vocab)
     sizes = [int(f.read_text()) for f in tmp_path.iterdir()]
     assert sum(sizes) == 800 * 51 + 8001 and max(sizes) < 5500
-    assert (first == lm_scoring.train(texts.repartition(3), lm_scoring.vocabulary(counts, len(rows)))).all()
+    assert (first == lm_scoring.train(coded.repartition(3), vocab)).all()

@@ -13,7 +13,8 @@ Tokens are the lower-cased (A-Z) words of a text and one end. All training texts
    are log10 probabilities of the texts themselves, comparable with the base.
 
 Counts of rare words reach texts by a join on the word; only the most frequent, at most ``KEPT``, go to all tasks. Equal texts
-send their rare words once each and the sums are by text.
+send their rare words once each and the sums are by text. One look-up of a text's words gives its ids, the base's
+sums and the rare words; training and scoring read those.
 
 Defined cases: a null text counts as empty and has one token, the end; a null id hashes like the empty text and so
 is for training; equal texts get equal scores up to single-precision rounding; without training texts every count is 0; an empty table gives no
@@ -38,7 +39,7 @@ from veinlode.llm.common import remainder, stash, table
 
 CLASSES, WIDTH, EMBED, HIDDEN = 32, 32, 16, 24
 BUCKETS = 255
-KEPT = 50_000
+KEPT = 200_000
 TRAINER_TOKENS = 4_000_000
 TURNS = 2
 #: Ids of a stream that are dealt together; longer texts are cut.
@@ -140,27 +141,59 @@ def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
     return Vocabulary([(bytes(w), int(c)) for w, c in zip(top["word"], top["c"])], n_texts, {r.bucket: (r.n, r.v) for r in sums})
 
 
-def train(texts: DataFrame, vocab: Vocabulary, seed: int = 1) -> np.ndarray:
-    """Parameters from all rows of ``texts``."""
-    spark = texts.sparkSession
+def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """``docs`` (..., tk, text) without text and with what one look-up gives: ids as 16-bit numbers, n_tokens, known,
+    base and rest (sums over the kept words and buckets), rare (the other words, null where a task has seen the text)."""
+    spark = docs.sparkSession
+    shipped = spark.sparkContext.broadcast(vocab)
+    added = "ids binary, n_tokens long, known long, base double, rest double, rare array<struct<word:binary,n:int>>"
+    schema = docs.drop("text").schema
+    for field in spark.createDataFrame([], added).schema:
+        schema = schema.add(field)
+    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        voc, seen = shipped.value, set()
+        end_log = math.log10(voc.end_count + 0.5)
+        for batch in batches:
+            for k in range(0, batch.num_rows, 500):
+                part = batch.slice(k, 500)
+                made = []
+                for key, text in zip(part.column("tk").to_pylist(), part.column("text").to_pylist()):
+                    words = tokens(text)
+                    ids, place, buckets = voc.look_up(words)
+                    rare = None
+                    if key not in seen:
+                        if len(seen) < COUNTED:
+                            seen.add(key)
+                        rare = [{"word": w, "n": n} for w, n in Counter([words[i] for i in np.flatnonzero(place < 0).tolist()]).items()]
+                    base = voc.kept_log[place].sum() + end_log - len(ids) * voc.base_log
+                    rest = voc.kept_rest[place].sum() - sum([voc.bucket_log[b] for b in buckets])
+                    made.append((ids.tobytes(), len(ids), len(place) - len(buckets) + (voc.end_count > 0), base, rest, rare))
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type)
+                columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+                yield pa.RecordBatch.from_arrays([*part.drop_columns(["text"]).columns, *columns], names=schema.names)
+
+    return docs.mapInArrow(run, schema)
+
+
+def train(coded: DataFrame, vocab: Vocabulary, seed: int = 1) -> np.ndarray:
+    """Parameters from all rows of ``coded`` (doc_id, ids)."""
+    spark = coded.sparkSession
     first = gru.start(vocab.share, WIDTH, EMBED, HIDDEN, seed)
     if not vocab.n:
         return gru.pack(first)
-    shipped = spark.sparkContext.broadcast(vocab)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                ids, deal = [], []
-                for doc, t in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    stream = shipped.value.look_up(tokens(t))[0]
-                    for at in range(0, len(stream), STREAM):  # copies of a text and parts of a long one go to different trainers
-                        ids.append(stream[at : at + STREAM].tobytes())
-                        deal.append(zlib.crc32(f"{doc} {at}".encode(), zlib.crc32(ids[-1], seed)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([d % TURNS for d in deal], pa.int32()), pa.array([d // TURNS for d in deal], pa.int64())], names=["ids", "turn", "deal"])
-
-    streams = stash(texts.select("doc_id", "text").mapInArrow(encode, "ids binary, turn int, deal long"), "streams")
+            ids, deal = [], []
+            for doc, stream in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
+                for at in range(0, len(stream), 2 * STREAM):  # copies of a text and parts of a long one go to different trainers
+                    ids.append(stream[at : at + 2 * STREAM])
+                    deal.append(zlib.crc32(f"{doc} {at}".encode(), zlib.crc32(ids[-1], seed)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array([d % TURNS for d in deal], pa.int32()), pa.array([d // TURNS for d in deal], pa.int64())], names=["ids", "turn", "deal"])
+
+    streams = coded.select("doc_id", "ids").mapInArrow(cut, "ids binary, turn int, deal long")
     trainers = max(1, -(-vocab.n // TURNS // TRAINER_TOKENS) * TURNS)
     flat = gru.pack(first)
     for turn in range(TURNS):
@@ -199,68 +232,44 @@ def train(texts: DataFrame, vocab: Vocabulary, seed: int = 1) -> np.ndarray:
     return flat
 
 
-def rare_sums(docs: DataFrame, counts: DataFrame, vocab: Vocabulary) -> DataFrame:
+def rare_sums(coded: DataFrame, counts: DataFrame) -> DataFrame:
     """(tk, logs, rare_known): of the tokens of each text outside the kept words, the sum of log10(c + 0.5) and how many
     have c > 0."""
-    shipped = docs.sparkSession.sparkContext.broadcast(vocab)
-
-    def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                kept = shipped.value.kept
-                of, words, n = [], [], []
-                for i, text in enumerate(part.column("text").to_pylist()):
-                    left = Counter([w for w in tokens(text) if w not in kept])
-                    of += [i] * len(left)
-                    words += left
-                    n += left.values()
-                yield pa.RecordBatch.from_arrays([part.column("tk").take(pa.array(of, pa.int32())), pa.array(words, pa.binary()), pa.array(n, pa.int32())], names=["tk", "word", "n"])
-
-    found = docs.select("tk", "text").mapInArrow(rare, "tk binary, word binary, n int").repartition("word")
+    found = coded.select("tk", F.explode("rare").alias("r")).select("tk", "r.word", "r.n")
     once = found.groupBy("word", "tk").agg(F.max("n").alias("n"))
     both = once.join(counts.select("word", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0))
     return both.groupBy("tk").agg(F.sum(F.col("n") * F.log10(c + 0.5)).alias("logs"), F.sum(F.when(c > 0, F.col("n")).otherwise(0)).alias("rare_known"))
 
 
-def score(docs: DataFrame, vocab: Vocabulary, params: np.ndarray) -> DataFrame:
-    """``docs`` (doc_id, held_out, tk, text) without text and with n_tokens, known, base, model: all but the rare
-    words' log10(c + 0.5) and knowledge."""
-    spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((vocab, params))
-    schema = docs.drop("text").select("*", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), F.lit(0.0).alias("model")).schema
+def score(coded: DataFrame, params: np.ndarray, end: int) -> DataFrame:
+    """``coded`` without ids and with model: ln p of its ids as log10, plus rest."""
+    shipped = coded.sparkSession.sparkContext.broadcast(params)
+    rows = coded.drop("rare")
+    schema = rows.drop("ids").select("*", F.lit(0.0).alias("model")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        voc, flat = shipped.value
-        net = gru.unpack(flat, CLASSES, WIDTH, EMBED, HIDDEN)
-        end_log = math.log10(voc.end_count + 0.5)
+        net = gru.unpack(shipped.value, CLASSES, WIDTH, EMBED, HIDDEN)
 
         def done() -> pa.RecordBatch:
-            lm = gru.score(net, held, voc.end) / math.log(10) + np.array(rest)
+            lm = gru.score(net, held, end) / math.log(10)
             rows = pa.Table.from_batches(fixed).combine_chunks().to_batches()[0]
-            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(sizes, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(lm)], names=schema.names)
+            return pa.RecordBatch.from_arrays([*rows.columns, pa.array(lm + rows.column("rest").to_numpy())], names=schema.names)
 
-        fixed, held, sizes, known, base, rest, waiting = [], [], [], [], [], [], 0
+        fixed, held, waiting = [], [], 0
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
-                fixed.append(part.drop_columns(["text"]))
-                for text in part.column("text").to_pylist():
-                    ids, place, buckets = voc.look_up(tokens(text))
-                    held.append(ids)
-                    sizes.append(len(ids))
-                    known.append(len(place) - len(buckets) + (voc.end_count > 0))
-                    base.append(voc.kept_log[place].sum() + end_log - len(ids) * voc.base_log)
-                    rest.append(voc.kept_rest[place].sum() - sum([voc.bucket_log[b] for b in buckets]))
-                    waiting += len(ids)
+                fixed.append(part.drop_columns(["ids"]))
+                held += [np.frombuffer(x, np.int16) for x in part.column("ids").to_pylist()]
+                waiting += sum(map(len, held[-part.num_rows :]))
                 if waiting > SCORED:
                     yield done()
-                    fixed, held, sizes, known, base, rest, waiting = [], [], [], [], [], [], 0
+                    fixed, held, waiting = [], [], 0
         if fixed:
             yield done()
 
-    return docs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
 def lm_scores(docs: DataFrame, is_training) -> DataFrame:
@@ -269,9 +278,10 @@ def lm_scores(docs: DataFrame, is_training) -> DataFrame:
     texts = rows.where(~F.col("held_out"))
     counts = stash(count_words(texts), "words")
     vocab = vocabulary(counts, texts.count())
-    params = train(texts, vocab)
-    rare = rare_sums(rows, counts, vocab)
-    scored = score(rows, vocab, params).join(rare, "tk", "left")
+    coded = stash(encoded(rows, vocab), "coded")
+    params = train(coded.where(~F.col("held_out")), vocab)
+    rare = rare_sums(coded, counts)
+    scored = score(coded, params, vocab.end).join(rare, "tk", "left")
     logs = F.coalesce("logs", F.lit(0.0))
     return scored.select(
         "doc_id",

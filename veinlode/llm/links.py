@@ -155,12 +155,12 @@ def meet(keyed: DataFrame) -> DataFrame:
     return keyed.repartition(parts, "key", "b").sortWithinPartitions("key", "a").mapInArrow(_met, _STAR)
 
 
-def settle(stars: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 4) -> DataFrame | None:
+def settle(stars: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame | None:
     """(item, root) of the items that links connect, from the edges (key, a, b) of blocks; None without a link.
 
     ``verify`` takes pairs (a, b), a < b, and returns those that are links. Items of a block that are not in the group
-    of its centre meet the block's last item and, ``rounds`` times at most, a new centre among them; those that are
-    left then and share two blocks are blocks in their turn. A round has two rows at most for every row of a block, so
+    of its centre meet the block's last item and a new centre among them, ``rounds`` - 1 times; those that are left then
+    and share two blocks are blocks in their turn. A round has two rows at most for every row of a block, so
     a block of many different items (a template) costs as much as it is large.
     """
     roots = None

@@ -58,7 +58,8 @@ def lines_before(text: Column, offset: Column) -> Column:
     return F.regexp_count(F.substring(text, F.lit(1), offset), F.lit("\n")) + 1
 
 
-PLACEHOLDER = r"(\$\{[^}]*\}|\{\{[^}]*\}\}|\bREPLACE_[A-Z_]+|\b(TBD|TODO)\b|<<[^>]*>>)"
+#: Fixed value: what counts as a placeholder, in any letter case; TBD, TODO and PLACEHOLDER only as the whole text.
+PLACEHOLDER = r"(?i)\$\{[^}]+\}|\{\{[^}]+\}\}|\bREPLACE_[A-Z0-9_]+\b|^(?:TBD|TODO|PLACEHOLDER)$|<<[^>]+>>"
 
 
 def is_placeholder(text: Column) -> Column:

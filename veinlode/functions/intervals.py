@@ -15,17 +15,58 @@ def order_error(start: Column, end: Column) -> Column:
     return F.when(start > end, F.lit("temporal_order"))
 
 
+_MOMENT = r"^(\d{4}-\d{2}-\d{2})[T ]([01]\d|2[0-3]):([0-5]\d)(?::([0-5]\d)(?:\.(\d+))?)?(Z|[+-](?:[01]\d|2[0-3]):[0-5]\d)?$"
+
+
 def point(raw: Column) -> Column:
-    """Year, month, day or instant with offset to start, end and precision; null for anything else.
+    """Year, month, day or moment to start, end and precision, with what is known of its zone; null for anything else.
 
-    Days that the calendar lacks give null. Instants keep microseconds and are in UTC.
+    Days that the calendar lacks give null. A moment keeps its offset and the digits of its fraction, as milliseconds
+    or microseconds; beyond microseconds it is refused with ``error`` instead of cut. Text in, text out: the session's
+    zone has no part in it.
     """
+    raw = F.trim(raw)
     day = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.try_to_date(raw, "yyyy-MM-dd"))
     month = F.when(raw.rlike(r"^\d{4}-\d{2}$"), F.try_to_date(F.concat(raw, F.lit("-01")), "yyyy-MM-dd"))
     year = F.when(raw.rlike(r"^\d{4}$"), F.try_to_date(F.concat(raw, F.lit("-01-01")), "yyyy-MM-dd"))
-    instant = F.when(raw.rlike(r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(\.\d{1,6})?(Z|[+-]\d{2}:\d{2})$"), F.try_to_timestamp(raw))
-    precision = F.when(day.isNotNull(), "day").when(month.isNotNull(), "month").when(year.isNotNull(), "year").when(instant.isNotNull(), "second")
+    part = lambda i: F.regexp_extract(raw, _MOMENT, i)
+    date, second, fraction, offset = part(1), part(4), part(5), part(6)
+    real = raw.rlike(_MOMENT) & F.try_to_date(F.when(date != "", date), "yyyy-MM-dd").isNotNull()
+    digits = F.length(fraction)
+    zone = F.when(offset.rlike(r"^[+-]00:00$"), "Z").otherwise(offset)
+    text = F.concat(date, F.lit("T"), part(2), F.lit(":"), part(3), F.lit(":"), F.when(second == "", "00").otherwise(second), F.when(digits > 0, F.concat(F.lit("."), F.rpad(fraction, F.when(digits <= 3, 3).otherwise(6), "0"))).otherwise(""), zone)
+    moment = F.when(real & (digits <= 6), text)
+    fine = F.when(digits > 3, "microsecond").when(digits > 0, "millisecond").when(second != "", "second").otherwise("minute")
+    precision = F.when(day.isNotNull(), "day").when(month.isNotNull(), "month").when(year.isNotNull(), "year").when(moment.isNotNull(), fine)
     start = F.coalesce(day, month, year).cast("string")
     end = F.coalesce(day, F.last_day(month), F.last_day(F.add_months(year, 11))).cast("string")
-    moment = F.date_format(instant, "yyyy-MM-dd'T'HH:mm:ss'Z'")
-    return F.when(precision.isNotNull(), F.struct(F.coalesce(start, moment).alias("start"), F.coalesce(end, moment).alias("end"), precision.alias("precision")))
+    known = moment.isNotNull() & (offset != "")
+    return F.when(
+        precision.isNotNull() | (real & (digits > 6)),
+        F.struct(
+            F.coalesce(start, moment).alias("start"),
+            F.coalesce(end, moment).alias("end"),
+            precision.alias("precision"),
+            F.when(known, "explicit").otherwise("unknown").alias("timezone_status"),
+            F.when(known, F.when(zone == "Z", "UTC").otherwise(zone)).alias("timezone_value"),
+            F.when(precision.isin("year", "month"), "coverage_envelope").otherwise("inclusive").alias("bounds_semantics"),
+            F.when(precision.isin("year", "month", "day"), "date").when(precision.isNotNull(), "dateTime").alias("timeformat"),
+            F.when(real & (digits > 6), "temporal_precision").alias("error"),
+        ),
+    )
+
+
+def normalized(value: Column) -> Column:
+    """A date as it is, a moment with an offset as microseconds in UTC, any other moment as it is: texts to bucket by."""
+    offset = F.regexp_extract(value, _MOMENT, 6)
+    shift = F.when(offset == "Z", F.lit(0)).otherwise(F.concat(F.substring(offset, 1, 1), F.lit("1")).cast("int") * (F.substring(offset, 2, 2).cast("int") * 60 + F.substring(offset, 5, 2).cast("int")))
+    local = F.to_timestamp_ntz(F.regexp_replace(F.regexp_replace(value, r"(Z|[+-]\d{2}:\d{2})$", ""), " ", "T"))
+    utc = local - F.make_dt_interval(mins=shift)
+    return F.when(value.rlike(_MOMENT) & (offset != ""), F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'")).otherwise(value)
+
+
+def comparable(a: Column, b: Column) -> Column:
+    """Whether two bounds may be compared: both dates, or both moments with an offset, or both without; open bounds
+    always."""
+    kind = lambda v: F.when(~v.contains("T"), "date").when(v.rlike(r"(Z|[+-]\d{2}:\d{2})$"), "zoned").otherwise("local")
+    return a.isNull() | b.isNull() | (kind(a) == kind(b))

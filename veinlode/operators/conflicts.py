@@ -18,13 +18,25 @@ def slot_conflicts(facts: DataFrame) -> DataFrame:
     return values.groupBy("slot").agg(F.count(F.lit(1)).alias("n_values"), F.sum("n").alias("n_facts"), F.sum(F.col("n") * F.col("n")).alias("same")).where("n_values > 1").select("slot", "n_values", "n_facts", ((F.col("n_facts") * F.col("n_facts") - F.col("same")) / 2).cast("long").alias("n_pairs"))
 
 
-def fact_conflicts(facts: DataFrame) -> DataFrame:
-    """Pairs of facts of one slot with different values, smaller id first."""
+def fact_conflicts(facts: DataFrame, slots: DataFrame | None = None) -> DataFrame:
+    """Pairs of facts of one slot with different values, smaller id first; with ``slots`` only of those.
+
+    A slot has a pair for every two facts that disagree, so ``slot_conflicts`` and ``value_conflicts`` are for all of
+    a table, and pairs for the slots that someone looks at.
+    """
+    facts = facts if slots is None else facts.join(slots.select("slot"), "slot", "left_semi")
     left = facts.select("slot", F.col("fact_id").alias("left_id"), F.col("value").alias("left_value"))
     right = facts.select("slot", F.col("fact_id").alias("right_id"), F.col("value").alias("right_value"))
     return left.join(right, "slot").where("left_id < right_id and left_value <> right_value")
 
 
+def value_conflicts(facts: DataFrame) -> DataFrame:
+    """Classes (slot, value, n) of the slots with different values: facts of two classes of a slot are in conflict."""
+    classes = facts.groupBy("slot", "value").agg(F.count(F.lit(1)).alias("n"))
+    several = classes.groupBy("slot").agg(F.count(F.lit(1)).alias("n_values")).where("n_values > 1")
+    return classes.join(several, "slot")
+
+
 def without_disjoint(pairs: DataFrame, intervals: DataFrame) -> DataFrame:
     """Drops pairs where both facts have intervals and none of one meets any of the other."""
     l = intervals.select(F.col("fact_id").alias("left_id"), F.col("start").alias("ls"), F.col("end").alias("le"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from veinlode.functions.intervals import overlap
+
 
 def consolidate(signals: DataFrame) -> DataFrame:
     """signals(subject, role, value, reliability, sha, family) to buckets by value with an assessment.
@@ -35,8 +37,8 @@ def proposals(buckets: DataFrame) -> DataFrame:
 def propagate(intervals: DataFrame, links: DataFrame, policy: str) -> DataFrame:
     """Intervals of sources to targets over links(source, target).
 
-    ``explicit_copy`` needs exactly one interval over all sources, ``intersection`` takes the common part of the
-    sources' intervals, ``aggregation`` keeps all different ones. A target one of whose sources has no interval gets
+    ``explicit_copy`` needs exactly one interval over all sources, ``intersection`` takes the common parts of the
+    sources' intervals (each source may have several), ``aggregation`` keeps all different ones. A target one of whose sources has no interval gets
     none.
     """
     found = links.join(intervals.select(F.col("subject").alias("source"), "start", "end"), "source", "left")
@@ -48,6 +50,28 @@ def propagate(intervals: DataFrame, links: DataFrame, policy: str) -> DataFrame:
         one = found.groupBy("target").agg(F.count_distinct(F.struct("start", "end")).alias("n"), F.first(F.struct("start", "end")).alias("i"))
         return one.where("n = 1").select("target", "i.start", "i.end")
     if policy == "intersection":
-        both = found.groupBy("target").agg(F.max("start").alias("start"), F.min("end").alias("end"))
-        return both.where("start is null or end is null or start <= end")
+        return folded(found.select("target", "source", "start", "end"))
     raise ValueError(f"unknown policy {policy}")
+
+
+def folded(spells: DataFrame) -> DataFrame:
+    """(target, source, start, end) to the parts (target, start, end) that a spell of every source has in common.
+
+    Sources are paired and pairs are paired again, so there are as many joins as the logarithm of the most sources of
+    one target; only spells that meet go on. Null bounds are open.
+    """
+    numbers = spells.select("target", "source").distinct().withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy(F.col("source").asc_nulls_last())) - 1)
+    most = numbers.agg(F.max("k")).first()[0] or 0
+    rows = spells.join(numbers, (spells["target"].eqNullSafe(numbers["target"])) & (spells["source"].eqNullSafe(numbers["source"]))).select(spells["target"], "k", "start", "end").distinct()
+    sizes = numbers.groupBy("target").agg((F.max("k") + 1).alias("n"))
+    rows = rows.join(sizes, "target")
+    while most > 0:
+        at = F.floor(F.col("k") / 2).cast("int")
+        one = rows.where("k % 2 = 0").select("target", at.alias("k"), "n", "start", "end")
+        two = rows.where("k % 2 = 1").select("target", at.alias("k"), F.col("start").alias("s2"), F.col("end").alias("e2"))
+        lone = one.where("2 * k + 1 = n")
+        both = one.where("2 * k + 1 < n").join(two, ["target", "k"]).where(overlap(F.col("start"), F.col("end"), F.col("s2"), F.col("e2")))
+        both = both.select("target", "k", "n", F.greatest("start", "s2").alias("start"), F.least("end", "e2").alias("end"))
+        rows = lone.unionByName(both).withColumn("n", F.ceil(F.col("n") / 2).cast("int")).distinct()
+        most //= 2
+    return rows.select("target", "start", "end").distinct()

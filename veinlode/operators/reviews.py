@@ -7,13 +7,16 @@ from pyspark.sql import functions as F
 
 from veinlode.functions.identity import is_placeholder
 
+#: The record types with the fields each must have, and the outcomes of a review.
 REQUIRED = {
     "candidate_fact": ("fact_type", "entity_name", "property_name", "property_value"),
     "candidate_relation": ("source_entity", "relation_type", "target_entity"),
     "candidate_mapping": ("domain_entity", "technical_object", "mapping_type"),
+    "candidate_conflict": ("conflict_type", "subject", "left_value", "right_value"),
     "candidate_question": ("question_type", "subject", "question_text"),
+    "temporal_interval": ("target_subject_type", "target_subject_id", "original_precision", "timezone_status", "bounds_semantics", "temporal_evidence_ids"),
 }
-OUTCOMES = ("confirmed", "rejected", "needs_review", "superseded")
+OUTCOMES = ("confirmed", "rejected", "pending")
 
 
 class GateError(ValueError):
@@ -46,18 +49,39 @@ def candidate_errors(batch: DataFrame, evidence: DataFrame) -> DataFrame:
     return rows.select("candidate_id", F.explode(reasons).alias("reason"))
 
 
-def review_errors(requests: DataFrame, states: DataFrame, done: DataFrame) -> DataFrame:
-    """requests(key, candidate_id, outcome, expected_head) against states(candidate_id, head, leaf) and done(key,
-    request_hash): the first reason in order, ``replay`` for a request that was made before."""
-    r = requests.withColumn("hash", F.sha2(F.concat_ws("|", "candidate_id", "outcome"), 256))
-    r = r.join(states, "candidate_id", "left").join(done.select("key", F.col("request_hash").alias("before")), "key", "left")
+def request_hash(requests: DataFrame) -> DataFrame:
+    """Requests with ``hash``, over all that makes a request another one."""
+    text = F.to_json(F.struct("actor_id", "actor_type", "candidate_id", "outcome", "reason"), {"ignoreNullFields": "false"})
+    return requests.withColumn("hash", F.sha2(text, 256))
+
+
+def review_errors(requests: DataFrame, states: DataFrame, done: DataFrame, policies: DataFrame | None = None) -> DataFrame:
+    """requests(key, candidate_id, outcome, expected_head, actor_id, actor_type, reason) against states(candidate_id,
+    head, leaf, state, rule, current_derivation, order_error) and done(actor_type, actor_id, key, request_hash): the
+    first reason in order, ``replay`` for a request that was made before, ``no_op`` for one that changes nothing.
+
+    Keys are an actor's own. A policy may review what policies(actor_id, rule) give it, as long as the derivation is
+    current; other actors than people and policies may not. A confirmed interval must not end before it starts.
+    """
+    spark = requests.sparkSession
+    allowed = spark.createDataFrame([], "actor_id string, rule string") if policies is None else policies
+    allowed = allowed.select("actor_id", "rule").distinct().withColumn("allowed", F.lit(True))
+    r = request_hash(requests).join(states, "candidate_id", "left")
+    r = r.join(done.select("actor_type", "actor_id", "key", F.col("request_hash").alias("before")), ["actor_type", "actor_id", "key"], "left")
+    r = r.join(allowed, ["actor_id", "rule"], "left")
+    may = F.col("allowed").isNotNull() & F.col("current_derivation")
     reason = (
         F.when(~F.col("outcome").isin(*OUTCOMES), "review_outcome")
+        .when(F.coalesce(F.trim("actor_id"), F.lit("")) == "", "actor_required")
         .when(F.col("leaf").isNull(), "unknown_candidate")
         .when(F.col("before") == F.col("hash"), "replay")
         .when(F.col("before").isNotNull(), "idempotency_payload_conflict")
         .when(~F.col("expected_head").eqNullSafe(F.col("head")), "review_head_conflict")
         .when(~F.col("leaf"), "not_leaf")
+        .when((F.col("actor_type") == "policy") & ~F.coalesce(may, F.lit(False)), "policy_not_allowed")
+        .when(~F.coalesce(F.col("actor_type").isin("policy", "human"), F.lit(False)), "actor_type")
+        .when((F.col("outcome") == "confirmed") & F.col("order_error").isNotNull(), F.col("order_error"))
+        .when((F.col("state") == F.col("outcome")) & F.col("head").isNotNull(), "no_op")
     )
     return r.select("key", "candidate_id", reason.alias("reason"))
 

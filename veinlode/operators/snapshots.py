@@ -38,8 +38,11 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def spells_inside(edge_spells: DataFrame, node_spells: DataFrame) -> DataFrame:
-    """edge_spells(edge, node, start, end): for each edge whether all its spells lie in some spell of its node."""
-    n = node_spells.select("node", F.col("start").alias("ns"), F.col("end").alias("ne"))
-    inside = F.coalesce(F.col("ns") <= F.col("start"), F.lit(False)) & F.coalesce(F.col("end") <= F.col("ne"), F.lit(False))
+    """edge_spells(edge, node, start, end): for each edge whether all its spells lie in some spell of its node. An open
+    bound of a node holds everything on its side, and so does a node without spells; an open bound of an edge lies
+    only in an open one."""
+    n = node_spells.select("node", F.col("start").alias("ns"), F.col("end").alias("ne"), F.lit(True).alias("there"))
+    within = lambda outer, test: outer.isNull() | F.coalesce(test, F.lit(False))
+    inside = F.col("there").isNull() | (within(F.col("ns"), F.col("ns") <= F.col("start")) & within(F.col("ne"), F.col("end") <= F.col("ne")))
     spell = edge_spells.join(n, "node", "left").groupBy("edge", "start", "end").agg(F.bool_or(inside).alias("inside"))
     return spell.groupBy("edge").agg(F.bool_and("inside").alias("contained"))

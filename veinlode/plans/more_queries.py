@@ -63,18 +63,28 @@ def candidate_errors(spark, d):
     return reviews.candidate_errors(batch, docs.where(i % 13 != 0).select(i.alias("evidence_id"), "text"))
 
 
-@query("g9_review_checks", """SELECT event_id AS key, CASE WHEN event_id % 10 = 3 THEN 'maybe' ELSE 'confirmed' END AS outcome,
-  CASE WHEN event_id % 10 = 3 THEN 'review_outcome' WHEN user_id % 5 = 4 THEN 'unknown_candidate' WHEN event_id % 10 = 5 THEN 'replay' WHEN event_id % 10 = 6 THEN 'idempotency_payload_conflict'
-       WHEN event_id % 2 = 0 AND user_id % 2 = 1 THEN 'review_head_conflict' WHEN user_id % 3 = 0 THEN 'not_leaf' END AS reason FROM events""")
+@query("g9_review_checks", """WITH r AS (SELECT event_id AS key, user_id AS u, CASE WHEN event_id % 10 = 3 THEN 'needs_review' WHEN event_id % 10 = 8 THEN 'pending' ELSE 'confirmed' END AS outcome,
+  CASE WHEN event_id % 7 = 2 THEN 'policy' WHEN event_id % 11 = 4 THEN 'robot' ELSE 'human' END AS actor, CASE WHEN event_id % 13 = 5 THEN ' ' ELSE 'rev' || event_id % 3 END AS actor_id,
+  CASE WHEN event_id % 2 = 0 THEN 'h0' ELSE 'h' || user_id % 2 END AS head FROM events)
+ SELECT key, outcome, CASE WHEN outcome = 'needs_review' THEN 'review_outcome' WHEN actor_id = ' ' THEN 'actor_required' WHEN u % 5 = 4 THEN 'unknown_candidate' WHEN key % 10 = 5 THEN 'replay' WHEN key % 10 = 6 THEN 'idempotency_payload_conflict'
+  WHEN head <> 'h' || u % 2 THEN 'review_head_conflict' WHEN u % 3 = 0 THEN 'not_leaf' WHEN actor = 'policy' AND NOT (actor_id = 'rev1' AND u % 4 = 1 AND u % 9 <> 1) THEN 'policy_not_allowed' WHEN actor = 'robot' THEN 'actor_type'
+  WHEN outcome = 'confirmed' AND u % 17 = 2 THEN 'temporal_order' WHEN u % 8 = 1 AND outcome = 'pending' OR u % 8 = 2 AND outcome = 'confirmed' THEN 'no_op' END AS reason FROM r""")
 def review_checks(spark, d):
-    e = read(spark, d, "events").select("event_id", "user_id")
-    outcome = F.when(F.col("event_id") % 10 == 3, "maybe").otherwise("confirmed")
-    requests = e.select(F.col("event_id").alias("key"), F.col("user_id").alias("candidate_id"), outcome.alias("outcome"), F.when(F.col("event_id") % 2 == 0, "h0").otherwise(F.concat(F.lit("h"), (F.col("user_id") % 2).cast("string"))).alias("expected_head"))
-    u = F.col("user_id")
-    states = e.select("user_id").distinct().where(u % 5 != 4).select(u.alias("candidate_id"), F.concat(F.lit("h"), (u % 2).cast("string")).alias("head"), (u % 3 != 0).alias("leaf"))
-    same = F.sha2(F.concat_ws("|", u.cast("string"), F.lit("confirmed")), 256)
-    done = e.where("event_id % 10 in (5, 6)").select(F.col("event_id").alias("key"), F.when(F.col("event_id") % 10 == 5, same).otherwise("other").alias("request_hash"))
-    return reviews.review_errors(requests, states, done).join(requests.select("key", "outcome"), "key").select("key", "outcome", "reason")
+    e, i, u = read(spark, d, "events").select("event_id", "user_id"), F.col("event_id"), F.col("user_id")
+    requests = e.select(
+        i.alias("key"), u.alias("candidate_id"), F.when(i % 10 == 3, "needs_review").when(i % 10 == 8, "pending").otherwise("confirmed").alias("outcome"),
+        F.when(i % 2 == 0, "h0").otherwise(F.concat(F.lit("h"), (u % 2).cast("string"))).alias("expected_head"),
+        F.when(i % 13 == 5, " ").otherwise(F.concat(F.lit("rev"), (i % 3).cast("string"))).alias("actor_id"),
+        F.when(i % 7 == 2, "policy").when(i % 11 == 4, "robot").otherwise("human").alias("actor_type"), F.lit("seen").alias("reason"),
+    )
+    states = e.select("user_id").distinct().where(u % 5 != 4).select(
+        u.alias("candidate_id"), F.concat(F.lit("h"), (u % 2).cast("string")).alias("head"), (u % 3 != 0).alias("leaf"),
+        F.when(u % 8 == 1, "pending").when(u % 8 == 2, "confirmed").otherwise("rejected").alias("state"), F.concat(F.lit("rule"), (u % 4).cast("string")).alias("rule"),
+        (u % 9 != 1).alias("current_derivation"), F.when(u % 17 == 2, "temporal_order").alias("order_error"),
+    )
+    done = reviews.request_hash(requests.where("key % 10 in (5, 6)")).select("key", "actor_id", "actor_type", F.when(F.col("key") % 10 == 5, F.col("hash")).otherwise("other").alias("request_hash"))
+    policies = spark.createDataFrame([("rev1", "rule1")], "actor_id string, rule string")
+    return reviews.review_errors(requests, states, done, policies).join(requests.select("key", "outcome"), "key").select("key", "outcome", "reason")
 
 
 @query("g10_auto_review", f"WITH {SQL} SELECT candidate_id FROM states WHERE state = 'pending' AND leaf AND current_derivation AND record_type IN ('candidate_fact', 'candidate_relation')")
@@ -107,7 +117,9 @@ LINKS = """k AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS target FROM
  f AS (SELECT k.target, s.start, s."end" FROM k LEFT JOIN s USING (source) WHERE target NOT IN (SELECT target FROM k WHERE source NOT IN (SELECT source FROM s)))"""
 
 
-@query("t5_propagate_intersection", f'WITH {LINKS} SELECT target, max(start) AS start, min("end") AS "end" FROM f GROUP BY target HAVING max(start) <= min("end")')
+@query("t5_propagate_intersection", f"""WITH {LINKS}, n AS (SELECT target, count(DISTINCT source)::BIGINT AS n FROM f GROUP BY 1),
+ c AS (SELECT DISTINCT a.target, a.start, b."end" FROM f a JOIN f b ON a.target = b.target AND a.start <= b."end")
+ SELECT c.target, c.start, c."end" FROM c JOIN n ON n.target = c.target JOIN f ON f.target = c.target AND f.start <= c.start AND c."end" <= f."end" GROUP BY c.target, c.start, c."end", n.n HAVING count(DISTINCT f.source) = n.n""")
 def propagate_intersection(spark, d):
     return consolidation.propagate(*_links(spark, d), "intersection")
 

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import fnmatch
-from collections.abc import Iterator
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +32,12 @@ def unsafe(path: Column) -> Column:
 
 
 def scan(spark: SparkSession, root: str, exclude: list[str] | None = None) -> DataFrame:
-    """(path, size, sha256, format, content) of all files below ``root``; content is read by the executors."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    """(path, size, sha256, format, content) of all files below ``root``; content is read by the executors. Files over
+    ``MAX_FILE_BYTES`` have their size only: their contents are never loaded."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    small = read.load(root).where(F.col("length") <= MAX_FILE_BYTES)
+    large = read.load(root).select("path", "length").where(F.col("length") > MAX_FILE_BYTES)  # no content column: not opened
+    raw = small.select("path", "length", "content").unionByName(large, allowMissingColumns=True)
     relative = F.regexp_replace("path", r"^.*?" + f"\\Q{root.rstrip('/')}/\\E", "")
     out = raw.select(relative.alias("path"), F.col("length").alias("size"), F.sha2("content", 256).alias("sha256"), "content")
     if exclude:
@@ -79,15 +82,12 @@ def decode_bytes(raw: bytes) -> str | None:
         return None if best is None else str(best)
 
 
-def decoded(files: DataFrame) -> DataFrame:
-    """``files`` with content as ``text``. What is valid UTF-8 without a mark stays in the JVM."""
+def _texts(contents: pd.Series) -> pd.Series:
+    return contents.map(lambda c: None if c is None else decode_bytes(c))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            text = pa.array([None if c is None else decode_bytes(c) for c in b.column("content").to_pylist()], pa.string())
-            yield pa.RecordBatch.from_arrays([*b.columns, text], names=[*b.schema.names, "text"])
 
+def decoded(files: DataFrame) -> DataFrame:
+    """``files`` with content as ``text``. What is valid UTF-8 without a mark stays in the JVM; one pass for both."""
     plain = F.is_valid_utf8(F.col("content").cast("string")) & ~F.hex(F.substring("content", 1, 3)).rlike("^(EFBBBF|FFFE|FEFF)")
-    easy = files.where(plain).withColumn("text", F.col("content").cast("string"))
-    hard = files.where(~plain)
-    return easy.unionByName(hard.mapInArrow(run, easy.schema))
+    decode = F.pandas_udf(_texts, "string")
+    return files.withColumn("text", F.when(plain, F.col("content").cast("string")).otherwise(decode(F.when(~plain, F.col("content")))))

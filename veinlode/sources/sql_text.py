@@ -7,41 +7,46 @@ their text. Literals and comments are blanked before names are looked for, at eq
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_HIDDEN = re.compile(r"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", re.S)
+_HIDDEN = re.compile(
+    r"--[^\n]*|/\*[\s\S]*?\*/"
+    r"|q'\[[\s\S]*?(?:\]'|\Z)|q'\([\s\S]*?(?:\)'|\Z)|q'\{[\s\S]*?(?:\}'|\Z)|q'<[\s\S]*?(?:>'|\Z)"
+    r"|\$(\w*)\$[\s\S]*?(?:\$\1\$|\Z)|'[^']*(?:''[^']*)*(?:'|\Z)",
+    re.I,
+)
 NAME = r'((?:"[^"]+"|\w+)(?:\.(?:"[^"]+"|\w+))*)'
 KINDS = ("create table", "create view", "create index", "alter table", "drop", "insert", "update", "delete", "merge", "select", "call", "grant", "revoke")
 
 
 def mask_text(text: str) -> str:
-    """Comments and literals as blanks; offsets and line ends stay."""
+    """Comments and literals, also those that never end, as blanks; offsets and line ends stay."""
     return _HIDDEN.sub(lambda m: re.sub(r"[^\n]", " ", m[0]), text)
 
 
-def masked(text: Column) -> Column:
-    """Only texts with a quote or a comment go to Python."""
-    mask = F.pandas_udf(_mask, "string")
-    hard = text.rlike(r"'|--|/\*")
-    return F.when(~hard, text).otherwise(mask(F.when(hard, text)))
-
-
-def _mask(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda x: None if x is None else mask_text(x))
-
-
 def statements(files: DataFrame) -> DataFrame:
-    """(path, text) to (path, ordinal, statement, bare): cut at semicolons outside literals and comments."""
-    m = files.select("path", "text", masked(F.col("text")).alias("m"))
-    ends = F.array_union(F.expr("filter(transform(sequence(1, length(m)), i -> if(substring(m, i, 1) = ';', i, 0)), i -> i > 0)"), F.array(F.length("m") + 1))
-    m = m.where(F.length("m") > 0).select("path", "text", "m", F.posexplode(ends).alias("ordinal", "end"), ends.alias("ends"))
-    begin = F.when(F.col("ordinal") == 0, 1).otherwise(F.expr("ends[ordinal - 1] + 1"))
-    cut = lambda c: F.substring(c, begin, F.col("end") - begin)
-    out = m.select("path", "ordinal", F.trim(cut(F.col("text"))).alias("statement"), F.trim(cut(F.col("m"))).alias("bare"))
-    return out.where("bare <> ''")
+    """(path, text) to (path, ordinal, statement, bare): cut at semicolons outside literals and comments. ``bare`` is
+    the statement masked; the work is linear in the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            of, number, whole, bare = [], [], [], []
+            for i, text in enumerate(batch.column("text").to_pylist()):
+                at = 0
+                for n, part in enumerate(mask_text(text).split(";") if text else []):
+                    if part.strip(" "):
+                        of.append(i)
+                        number.append(n)
+                        whole.append(text[at : at + len(part)].strip(" "))
+                        bare.append(part.strip(" "))
+                    at += len(part) + 1
+            yield pa.RecordBatch.from_arrays([batch.column("path").take(pa.array(of, pa.int32())), pa.array(number, pa.int32()), pa.array(whole, pa.string()), pa.array(bare, pa.string())], names=["path", "ordinal", "statement", "bare"])
+
+    return files.select("path", "text").mapInArrow(run, f"path {files.schema['path'].dataType.simpleString()}, ordinal int, statement string, bare string")
 
 
 def kind(bare: Column) -> Column:

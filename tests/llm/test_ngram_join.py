@@ -60,21 +60,38 @@ def test_nulls_and_repeats(spark):
     assert ngram_join.near_duplicates(docs.where("false")).count() == 0
 
 
-def test_rounds_lose_no_link(spark):
-    """One bucket in which only neighbours on a line are links: its leader finds two of them at most."""
-    n = 40
-    order = list(range(n))
-    random.Random(1).shuffle(order)
-    members = spark.createDataFrame([(1, i) for i in order], "bucket long, item long")
-    place = spark.createDataFrame([(order[i], i) for i in range(n)], "item long, at long")
-
-    def verify(pairs):
-        both = pairs.join(place.toDF("a", "x"), "a").join(place.toDF("b", "y"), "b")
-        return both.where("abs(x - y) = 1")
-
-    roots, found = links.classes(members, place.toDF("item", "info"), verify, lambda x, y: links.F.abs(x - y))
-    got = {r.item: r.root for r in roots.collect()}
-    assert set(got) == set(order) - {0} and set(got.values()) == {0} and found.count() == n - 1
+def test_buckets_of_many_different_texts(spark):
+    """A template's texts share buckets, several hundred each, and no prefix; the near ones among them are found."""
+    rng = random.Random(4)
+    head = [f"t{i}" for i in range(150)]
+    texts = [" ".join(head + [f"x{rng.randrange(10**6)}" for _ in range(50)]) for _ in range(3000)]
+    near = [t + " end" for t in texts[::100]]
+    rows = list(enumerate(texts + near))
+    rng.shuffle(rows)
+    got = {r.doc_id: r.class_id for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: i if i < 3000 else (i - 3000) * 100 for i, _ in rows}
+
+
+def test_stars(spark):
+    rng = np.random.default_rng(3)
+    keys, ids = rng.integers(0, 300, 2000), rng.integers(0, 1 << 62, 60)[rng.integers(0, 60, 2000)]
+    rows = spark.createDataFrame([([int(k)], int(i)) for k, i in zip(keys, ids)], "keys array<long>, id long").repartition(5)
+    edges = links.meet(rows.mapInArrow(links.starred_lists, "key long, a long, b long")).collect()
+    linked = {}
+    for e in edges:
+        linked.setdefault(e.key, []).append((e.a, e.b))
+    for key in range(300):
+        want = set(ids[keys == key].tolist())
+        up = {i: i for i in want}
+
+        def top(i):
+            return i if up[i] == i else top(up[i])
+
+        for a, b in linked.get(key, []):
+            assert {a, b} <= want
+            up[top(a)] = top(b)
+        assert len({top(i) for i in want}) <= 1
+    assert len({e.a for e in edges}) > 10
 
 
 def test_components(spark):
@@ -100,13 +117,11 @@ def test_components(spark):
     assert {r.item: r.root for r in links.components(links_.where("a % 2 = 1"), half).collect()} == got
 
 
-def test_maps_bound_the_difference():
-    rng = np.random.default_rng(2)
-    for _ in range(50):
-        x = np.unique(rng.integers(0, 1 << 64, rng.integers(1, 400), dtype=np.uint64))
-        y = np.union1d(x[rng.random(len(x)) < 0.9], rng.integers(0, 1 << 64, 20, dtype=np.uint64))
-        differ = sum(bin(int(a) & (2**64 - 1)).count("1") for a in ngram_join.parity_map(x) ^ ngram_join.parity_map(y))
-        assert differ <= len(np.setxor1d(x, y))
+def test_clashing_columns(spark):
+    t = " ".join(f"a{i}" for i in range(50))
+    names = ["doc_id", "text", "its_id", "its_raw", "raw", "a.b", "item", "_text"]
+    kept = ngram_join.keep_first(spark.createDataFrame([(1, t, *range(6)), (2, t + " z", *range(6))], names))
+    assert kept.columns == names and [tuple(r) for r in kept.collect()] == [(1, t, *range(6))]
 
 
 def test_query(spark):

@@ -1,16 +1,8 @@
-"""Connected groups from bucketed candidates, without listing the pairs of a bucket.
+"""Connected groups from blocks of candidates, without listing the pairs of a block.
 
-``classes`` compares the items that share a bucket only as far as the groups depend on it:
-
-1. every bucket names its smallest item as leader, and items are compared with their leaders;
-2. buckets of one group are done. In the others, the items outside the bucket's largest group meet all items of
-   other groups, subject to a necessary condition on small facts of the two (``apart``); each takes its nearest;
-3. as 2, but with every pair left.
-
-Two items of one bucket that end up in different groups have so been compared or ruled out by ``apart``: no link that
-could join groups is lost, whatever the size of a bucket, and within a group no pairs are listed. Leaders come from
-partial aggregates and meet their buckets in equi-joins that Spark may split by rows, so a hot bucket needs no single
-task.
+``starred`` joins the ids of a block to one of them where the rows are made, ``meet`` does the same for what tasks have
+left, and ``settle`` verifies these edges, gives a new centre to those that are not in the group of theirs, and
+connects what is linked. No block is gathered, and every step has about as many rows as the blocks.
 """
 
 from __future__ import annotations
@@ -19,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veinlode.llm.common import forget, stash
@@ -74,70 +66,47 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
         rows = jumped
 
 
-def classes(members: DataFrame, facts: DataFrame, verify: Callable[[DataFrame], DataFrame], apart: Callable[[Column, Column], Column]) -> tuple[DataFrame | None, DataFrame | None]:
-    """Groups over ``members`` (bucket, item), each bucket with two items or more.
-
-    ``facts`` is (item, info); ``apart`` makes of two infos a distance, or null if the items can't be a link;
-    ``verify`` takes pairs (a, b), a < b, and returns those that are links. Returns (item, root) for linked items and
-    the links found, or None and None.
-    """
-    spark = members.sparkSession
-    roots, links = None, None
-
-    def check(pairs: DataFrame) -> None:
-        nonlocal roots, links
-        pairs = pairs.select(F.least("item", "other").alias("a"), F.greatest("item", "other").alias("b")).distinct()
-        new = stash(verify(pairs).select("a", "b").distinct(), "links")
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            roots = components(new, roots)
-
-    def rooted(rows: DataFrame) -> DataFrame:
-        if roots is None:
-            return rows.withColumn("root", F.col("item"))
-        return rows.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
-
-    leaders = members.groupBy("bucket").agg(F.min("item").alias("other"))
-    check(members.join(leaders, "bucket").where("item <> other").select("item", "other"))
-    for one in (True, False):
-        tagged = rooted(members)
-        mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-        tagged = stash(tagged.join(mixed, "bucket").join(facts, "item").select("bucket", "item", "root", "info"), "tagged")
-        if tagged.isEmpty():
-            break
-        largest = tagged.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("most"))
-        few = tagged.join(largest, "bucket").where(F.col("root") != F.col("most.root")).select("bucket", F.col("item").alias("other"), F.col("root").alias("there"), F.col("info").alias("its"))
-        # of two items outside the largest group one order is enough
-        both = tagged.join(largest, "bucket").join(few, "bucket").where((F.col("root") != F.col("there")) & ((F.col("root") == F.col("most.root")) | (F.col("item") < F.col("other"))))
-        both = both.select("item", "other", apart(F.col("info"), F.col("its")).alias("apart")).where("apart is not null")
-        check(both.groupBy("other").agg(F.min_by("item", F.struct("apart", "item")).alias("item")) if one else both)
-        forget(spark, tagged)
-    return roots, links
+_STAR = "key long, a long, b long"
 
 
-_STAR = "key long, a long, b long"
+def _salt(keys: np.ndarray) -> np.ndarray:
+    """Puts the ids of each block in another order, so that an id is not the centre of all its blocks."""
+    x = keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (x ^ x >> np.uint64(29)).view(np.int64)
 
 
 def starred(keys: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
-    """Blocks (key, id) as stars: a row (key, first id, null) for each block, (key, first id, id) for its other ids."""
-    order = np.lexsort((ids, keys))
-    keys, ids = keys[order], ids[order]
-    new = np.concatenate(([True], keys[1:] != keys[:-1]))
-    keep = new | np.concatenate(([True], ids[1:] != ids[:-1]))
-    first = ids[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(first[keep]), pa.array(ids[keep], mask=new[keep])], names=["key", "a", "b"])
+    """Blocks (key, id) as stars: for each block a row (key, salted centre, null), and (key, centre, id) for its other
+    ids."""
+    salted = ids ^ _salt(keys)
+    order = np.lexsort((salted, keys))
+    keys, ids, salted = keys[order], ids[order], salted[order]
+    new = np.concatenate(([True], keys[1:] != keys[:-1]))[: len(keys)]
+    keep = new | np.concatenate(([True], ids[1:] != ids[:-1]))[: len(keys)]
+    first = np.flatnonzero(new)[np.cumsum(new) - 1]
+    a = np.where(new, salted, ids[first])
+    return pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(a[keep]), pa.array(ids[keep], mask=new[keep])], names=["key", "a", "b"])
+
+
+def starred_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``starred`` of rows (keys, id)."""
+    for batch in batches:
+        lists = batch.column("keys")
+        sizes = np.diff(lists.offsets.to_numpy())
+        yield starred(lists.flatten().to_numpy(), np.repeat(batch.column("id").to_numpy(), sizes))
 
 
 def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges pass; of the first ids of a block, which come one after the other, the first becomes the others' centre."""
-    last, centre = None, None
+    """Edges pass; of the centres of a block, which come one after the other, the first becomes the others' centre."""
+    last, centre = None, 0
     for batch in batches:
         edge = batch.column("b").is_valid().to_numpy(zero_copy_only=False)
         keys, ids = batch.column("key").to_numpy()[~edge], batch.column("a").to_numpy()[~edge]
         if len(keys):
+            ids = ids ^ _salt(keys)
             new = np.concatenate(([last is None or keys[0] != last], keys[1:] != keys[:-1]))
-            at = np.flatnonzero(new)[np.cumsum(new) - 1] if new[0] else np.concatenate(([-1], np.flatnonzero(new)))[np.cumsum(new)]
-            first = np.where(at < 0, centre if centre is not None else 0, ids[at])
+            at = np.concatenate(([-1], np.flatnonzero(new)))[np.cumsum(new)]
+            first = np.where(at < 0, centre, ids[at])
             last, centre = keys[-1], first[-1]
             more = ids != first
             yield pa.RecordBatch.from_arrays([pa.array(keys[more]), pa.array(first[more]), pa.array(ids[more])], names=["key", "a", "b"])

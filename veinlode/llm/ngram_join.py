@@ -5,17 +5,19 @@ words is one shingle) get ``BANDS * ROWS`` minima. Texts that share all minima o
 shuffle on band hashes, and pairs are verified on the full shingle sets. With 24 bands of 6 rows a pair of
 similarity 0.8 meets with probability 1 - (1 - 0.8^6)^24 = 0.9993, one of 0.5 with 0.31.
 
-Texts with the same words are one item from the start, so copies are never paired. ``links.classes`` settles which
-items are connected without listing the pairs of a bucket. What rules a pair out there is a bound without loss: every
-text has a map of 2048 bits, each the parity of the shingles that hash to it, and two maps differ in at most as many
-bits as the sets differ in shingles. The links of each item are counted afterwards, over all pairs of different texts
-in its class: classes are dealt into chunks of about ``CHUNK`` items, and every two chunks are one block that
-intersects its sets and gives counts per item, not pairs.
+Texts with the same words are one item from the start, so copies are never paired. ``links.settle`` connects items
+without listing the pairs of a bucket. Where items of different classes are left in one bucket, an exact step
+follows: ``rest`` joins these items on their prefixes. Two sets of the similarity share one of the rarest
+|s| - t |s| + 1 shingles of each, so nothing is lost, and sets that share common shingles only (a template) never meet.
+The links of each item are counted afterwards, over all pairs of different texts in its class: classes are dealt into
+chunks of about ``CHUNK`` items, and every two chunks are one block that intersects its sets and gives counts per
+item, not pairs. Items are 128-bit hashes, of which pairs hold the first 64 bits.
 
 Defined cases: null and empty texts, or texts without a word, have no shingle and no link: each is a class of its
 own. A class is named by its smallest doc_id (nulls last). Repeated rows get the same result each; a null id can
-belong to a class but never names one unless all its ids are null. An empty table gives no rows. Columns other than
-doc_id and text are ignored.
+belong to a class but never names one unless all its ids are null. Texts of any length are taken whole; equal
+distances can't matter, since a class is what links connect. An empty table gives no rows. Columns other than doc_id
+and text are ignored, and ``keep_first`` passes them on whatever their names.
 """
 
 from __future__ import annotations
@@ -25,11 +27,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from veinlode.llm.common import stash, table
-from veinlode.llm.links import classes
+from veinlode.llm.common import forget, free_names, stash, table
+from veinlode.llm.links import components, meet, settle, starred_lists
 
 WORDS, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 6
@@ -37,8 +39,6 @@ _RNG = np.random.default_rng(20)
 _MULT = _RNG.integers(0, 1 << 64, 16, dtype=np.uint64) | np.uint64(1)
 _A = (_RNG.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)[:, None]
 _BLOCK = 2048
-#: 64-bit words of a text's parity map.
-MAP = 32
 #: Items of a class that are counted against each other at a time, and shingles of a block's matrix.
 CHUNK, _WIDE = 1000, 4096
 
@@ -76,28 +76,17 @@ def band_keys(s: np.ndarray) -> np.ndarray:
     return _mix((rows * _MULT[:ROWS]).sum(axis=1, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * _MULT[15])
 
 
-def parity_map(s: np.ndarray) -> np.ndarray:
-    """Bit j is the parity of the number of shingles with hash j modulo the map's bits."""
-    odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % (64 * MAP), minlength=64 * MAP) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 1000):
             part = batch.slice(k, 1000)
-            items, sizes, keys, maps = [], [], [], []
+            items, keys = [], []
             for text in part.column("text").to_pylist():
                 words = tokens(text)
-                s = shingles(words)
                 items.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
-                sizes.append(len(s))
-                keys.append(band_keys(s).view(np.int64) if words else None)
-                maps.append(parity_map(s) if words else None)
-            yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), part.column("raw"), pa.array(items, pa.binary()), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(maps, pa.list_(pa.int64()))],
-                names=["doc_id", "raw", "item", "size", "bands", "map"],
-            )
+                keys.append(band_keys(shingles(words)).view(np.int64) if words else None)
+            ids = pa.array([None if i is None else int.from_bytes(i[:8], "little", signed=True) for i in items], pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("raw"), pa.array(items, pa.binary()), ids, pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "raw", "item", "id", "bands"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,7 +94,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(0, batch.num_rows, 500):
             part = batch.slice(k, 500)
             made = [shingles(tokens(t)).view(np.int64) for t in part.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("item"), pa.array(made, pa.list_(pa.int64()))], names=["item", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(made, pa.list_(pa.int64()))], names=["id", "grams"])
 
 
 def similar(one: list[np.ndarray], two: list[np.ndarray], threshold: float) -> np.ndarray:
@@ -141,7 +130,7 @@ def _counted(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa
             n, names = np.concatenate([found.sum(axis=1), found.sum(axis=0)]), [*sides[0], *sides[1]]
         else:
             n, names = np.empty(0), []
-        return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n.astype(np.int64))], names=["item", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(n.astype(np.int64))], names=["item", "n"])
 
     key, held = None, {}  # by item: repeated rows have their sets more than once
     for batch in batches:
@@ -166,11 +155,29 @@ def degrees(roots: DataFrame, grams: DataFrame, threshold: float) -> DataFrame:
     dealt = members.join(sizes, "root").withColumn("chunk", F.pmod(F.xxhash64("item"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     dealt = dealt.select("item", "root", "chunk", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"))
-    blocks = dealt.join(grams, "item").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
-    counted = blocks.mapInArrow(lambda batches: _counted(batches, threshold), "item binary, n long")
+    blocks = dealt.join(grams.withColumnRenamed("id", "item"), "item").repartition("root", "low", "high").sortWithinPartitions("root", "low", "high")
+    counted = blocks.mapInArrow(lambda batches: _counted(batches, threshold), "item long, n long")
     return counted.groupBy("item").agg(F.sum("n").alias("n_links"))
 
 
+def rest(stars: DataFrame, roots: DataFrame | None, grams: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different classes that are candidates by prefix, among the items of buckets with more than one
+    class."""
+    rows = stars.select("key", F.explode(F.array("a", "b")).alias("item")).distinct()
+    rows = rows.withColumn("root", F.col("item")) if roots is None else rows.join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
+    rows = stash(rows, "rooted")
+    mixed = rows.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
+    of = rows.join(mixed, "key").select(F.col("item").alias("id"), "root").distinct()
+    each = stash(grams.join(of, "id").select("id", "root", F.size("grams").alias("size"), F.explode("grams").alias("gram")), "each")
+    times = stash(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("shared")), "times")
+    rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "gram"))
+    prefix = each.join(times, "gram").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1)
+    prefix = stash(prefix.where("shared").select("gram", "id", "root", "size"), "prefix")
+    one, two = prefix.toDF("gram", "a", "ra", "sa"), prefix.toDF("gram", "b", "rb", "sb")
+    both = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9))
+    return both.select("a", "b").distinct()
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, a hash of the text as it is, and the text: rows that agree in the first two are repeated rows."""
     return docs.select("doc_id", F.xxhash64("text").alias("raw"), "text")
@@ -183,40 +190,35 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """
     rows = keyed(docs)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    signed = stash(rows.mapInArrow(_signed, f"doc_id {kind}, raw long, item binary, size long, bands array<long>, map array<long>"), "signed")
+    signed = stash(rows.mapInArrow(_signed, f"doc_id {kind}, raw long, item binary, id long, bands array<long>"), "signed")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "raw")
-    items = signed.where("item is not null").groupBy("item").agg(F.min(place).alias("place"), F.first("bands").alias("bands"))
-    members = items.select(F.explode("bands").alias("bucket"), "item")
-    shared = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("bucket")
-    members = stash(members.join(shared, "bucket"), "bands")
+    items = signed.where("item is not null").groupBy("item").agg(F.min(place).alias("place"), F.first("id").alias("id"), F.first("bands").alias("bands"))
+    items = stash(items, "items")
+    stars = stash(meet(items.select(F.col("bands").alias("keys"), "id").mapInArrow(starred_lists, "key long, a long, b long")), "stars")
 
-    wanted = members.select("item").distinct().join(items.select("item", "place.doc_id", "place.raw"), "item")
+    wanted = stars.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(items.select("id", "place.doc_id", "place.raw"), "id")
     found = rows.alias("r").join(wanted.alias("w"), F.col("r.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("r.raw") == F.col("w.raw")))
-    grams = stash(found.select("item", "text").mapInArrow(_sets, "item binary, grams array<long>"), "grams")
+    grams = stash(found.select("id", "text").mapInArrow(_sets, "id long, grams array<long>").dropDuplicates(["id"]), "grams")  # repeated rows
 
     def verify(pairs: DataFrame) -> DataFrame:
-        one = grams.select(F.col("item").alias("a"), F.col("grams").alias("ga"))
-        two = grams.select(F.col("item").alias("b"), F.col("grams").alias("gb"))
-        both = pairs.join(one, "a").join(two, "b")
+        both = pairs.join(grams.toDF("a", "ga"), "a").join(grams.toDF("b", "gb"), "b")
         common = F.size(F.array_intersect("ga", "gb"))
         return both.where(common >= threshold * (F.size("ga") + F.size("gb") - common)).select("a", "b")
 
-    facts = signed.join(wanted.select("item"), "item", "left_semi").groupBy("item").agg(F.first(F.struct("size", "map")).alias("info"))
-
-    def apart(x, y):
-        """Bits in which the maps differ, if the sets may be similar: then at most (1 - t) / (1 + t) of all shingles
-        are in one set only."""
-        differ = sum((F.bit_count(x["map"][i].bitwiseXOR(y["map"][i])) for i in range(MAP)), F.lit(0))
-        return F.when((F.least(x["size"], y["size"]) >= threshold * F.greatest(x["size"], y["size"])) & (differ <= (x["size"] + y["size"]) * ((1 - threshold) / (1 + threshold)) + 1e-6), differ)
-
-    roots, _ = classes(members, facts, verify, apart)
+    roots = settle(stars, verify)
+    more = stash(verify(rest(stars, roots, grams, threshold)), "links")
+    if not more.isEmpty():
+        roots = components(more, roots)
     if roots is None:
         named = items.select("item", "place").withColumn("n_links", F.lit(0).cast("long"))
     else:
-        degree = degrees(roots, grams, threshold)
-        rooted = items.select("item", "place").join(roots, "item", "left").withColumn("root", F.coalesce("root", "item"))
-        lowest = rooted.groupBy("root").agg(F.min("place").alias("place"))
-        named = rooted.drop("place").join(lowest, "root").join(degree, "item", "left").select("item", "place", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+        degree = degrees(roots, grams, threshold).withColumnRenamed("item", "id")
+        rooted = items.select("item", "id", "place").join(roots.withColumnRenamed("item", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        lowest = stash(rooted.groupBy("root").agg(F.min("place").alias("place")), "lowest")
+        named = rooted.drop("place").join(lowest, "root").join(degree, "id", "left").select("item", "place", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    named = stash(named, "named")
+    for df in (stars, grams, items):
+        forget(rows.sparkSession, df)
     out = signed.select("doc_id", "raw", "item").join(named, "item", "left")
     own = F.col("item").isNull()
     return out.select(
@@ -230,11 +232,12 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def keep_first(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """``docs`` with one row of each class: its first by doc_id."""
-    found = near_duplicates(docs, threshold).where("first").select(F.col("doc_id").alias("_id"), F.col("raw").alias("_raw")).distinct()
-    rows = docs.withColumn("_text", F.xxhash64("text"))
-    kept = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_raw")), "left_semi")
+    its_id, its_raw, raw = free_names(docs, "its_id", "its_raw", "raw")
+    found = near_duplicates(docs.select("doc_id", "text"), threshold).where("first").select(F.col("doc_id").alias(its_id), F.col("raw").alias(its_raw)).distinct()
+    rows = docs.withColumn(raw, F.xxhash64("text"))
+    kept = rows.join(found, rows["doc_id"].eqNullSafe(found[its_id]) & (rows[raw] == found[its_raw]), "left_semi")
     # repeated rows agree in id and text and are one document; texts without a word are no one's copies
-    return kept.dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept.dropDuplicates(["doc_id", raw]).drop(raw)
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

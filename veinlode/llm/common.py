@@ -72,3 +72,8 @@ def free_names(df: DataFrame, *names: str) -> list[str]:
         taken.add(name.lower())
         out.append(name)
     return out
+
+
+def undotted(df: DataFrame) -> DataFrame:
+    """``df`` with other names for columns that have a dot in theirs, which mapInArrow doesn't take."""
+    return df.toDF(*[f"column_{i}" if "." in c else c for i, c in enumerate(df.columns)])

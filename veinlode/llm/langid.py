@@ -9,7 +9,8 @@ is flagged as ambiguous.
 
 Defined cases: a null text, or one without a letter, gives ``und`` with score 0; so does every text when nothing is
 labelled; with one learned language that language is predicted with score 1; a null id hashes like the empty text;
-equal texts get equal predictions; an empty table gives no rows. Only text and lang of training rows are learned
+equal texts get equal predictions; equal losses go to the language that comes first in code points; texts of any
+length are counted whole; an empty table gives no rows. Only text and lang of training rows are learned
 from, other columns are ignored. Only n-gram counts per language (languages x bins) reach the driver.
 """
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinlode.llm.common import remainder, table
+from veinlode.llm.common import remainder, table, undotted
 
 BINS = 1 << 13
 #: n-gram counts of a text are scaled as if it had at most so many n-grams, for the losses.
@@ -189,7 +190,9 @@ def reach(labelled: DataFrame, model: Model) -> float:
 
 def identify(docs: DataFrame, model: Model, within: float | None = None) -> DataFrame:
     """All columns of ``docs`` plus lid_pred, lid_score and lid_ambiguous, predicted from ``text`` alone. Texts whose
-    nearest codeword is not ``within`` a distance are ``und``."""
+    nearest codeword is not ``within`` a distance are ``und``; columns of ``docs`` with these names are replaced."""
+    docs = docs.drop("lid_pred", "lid_score", "lid_ambiguous")
+    names, docs = docs.columns, undotted(docs)
     schema = docs.select("*", F.lit("").alias("lid_pred"), F.lit(0.0).alias("lid_score"), F.lit(False).alias("lid_ambiguous")).schema
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -207,7 +210,7 @@ def identify(docs: DataFrame, model: Model, within: float | None = None) -> Data
                         pred[away], score[away], unsure[away] = "und", 0.0, False
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(pred, pa.string()), pa.array(score), pa.array(unsure)], names=schema.names)
 
-    return docs.mapInArrow(predict, schema)
+    return docs.mapInArrow(predict, schema).toDF(*names, "lid_pred", "lid_score", "lid_ambiguous")
 
 
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

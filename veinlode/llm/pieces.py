@@ -18,6 +18,7 @@ gives no rows; other columns are passed on.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 import re
 import zlib
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinlode.llm.common import table
+from veinlode.llm.common import table, undotted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -100,7 +101,8 @@ class Codec:
         return h < np.uint64(self.limit)
 
     def segment(self, chunk: str, variant: int = 0, plain: bool = False) -> tuple[int, ...]:
-        """Ids of one chunk by agenda merging. Agenda entries are integers: rank, place, length from the top."""
+        """Ids of one chunk by agenda merging. Agenda entries are integers: rank, place (40 bits), length (16, as
+        no piece is longer) from the top."""
         if chunk == _MARK:
             return tuple(self.byte[b] for b in chunk.encode())
         part = list(chunk.replace(" ", _MARK))
@@ -112,7 +114,7 @@ class Codec:
             right = part[i + 1]
             found = get(left + right)
             if found is not None:
-                agenda.append(found << 48 | i << 24 | 2)
+                agenda.append(found << 56 | i << 16 | 2)
             left = right
         if agenda:
             heapq.heapify(agenda)
@@ -120,11 +122,11 @@ class Codec:
             pop, push = heapq.heappop, heapq.heappush
             while agenda:
                 top = pop(agenda)
-                i, length = top >> 24 & 0xFFFFFF, top & 0xFFFFFF
+                i, length = top >> 16 & 0xFFFFFFFFFF, top & 0xFFFF
                 j = nxt[i] if size[i] else n
                 if j >= n or size[i] + size[j] != length:
                     continue  # one side was merged meanwhile
-                if limit and ((salt[top >> 48] ^ key) + i * 0x9E3779B1) * 0x85EBCA6B & 0xFFFFFFFF < limit:
+                if limit and ((salt[top >> 56] ^ key) + i * 0x9E3779B1) * 0x85EBCA6B & 0xFFFFFFFF < limit:
                     continue  # dropped: this candidate is gone, others over the same characters may come
                 part[i] = merged = part[i] + part[j]
                 size[i], size[j] = length, 0
@@ -133,12 +135,12 @@ class Codec:
                     prv[k] = i
                     found = get(merged + part[k])
                     if found is not None:
-                        push(agenda, found << 48 | i << 24 | length + size[k])
+                        push(agenda, found << 56 | i << 16 | length + size[k])
                 k = prv[i]
                 if k >= 0:
                     found = get(part[k] + merged)
                     if found is not None:
-                        push(agenda, found << 48 | k << 24 | size[k] + length)
+                        push(agenda, found << 56 | k << 16 | size[k] + length)
             part = [p for p, keep in zip(part, size) if keep]
         ids, of = [], self.of
         for p in part:
@@ -291,7 +293,7 @@ _codecs: dict[tuple, Codec] = {}
 
 def codec(vocab: list, *parameters) -> Codec:
     """One codec for a worker and its parameters, so that segmented chunks outlive a task."""
-    key = (zlib.crc32(repr(vocab[:: max(1, len(vocab) // 500)]).encode()), len(vocab), *parameters)
+    key = (hashlib.sha256(repr(vocab).encode()).digest(), *parameters)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(vocab, *parameters)
@@ -308,7 +310,9 @@ def _put(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
 
 
 def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: int = SEED, column: str = "text", into: str = "piece_ids") -> DataFrame:
-    """All columns of ``docs`` plus the ids of ``column``."""
+    """All columns of ``docs`` plus the ids of ``column``, in place of a column ``into`` that is there."""
+    docs = docs.drop(into)
+    names, docs = docs.columns, undotted(docs)
     vocab = _shipped(docs.sparkSession, path)
     schema = docs.select("*", F.lit(None).cast("array<int>").alias(into)).schema
 
@@ -321,11 +325,13 @@ def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: i
                 ids = [None if t is None else np.array(i, np.int32) for t, i in zip(texts, own.encode_all([t or "" for t in texts]))]
                 yield _put(part, into, pa.array(ids, pa.list_(pa.int32())))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, schema).toDF(*names, into)
 
 
 def decode(encoded: DataFrame, path: str = MODEL, column: str = "piece_ids", into: str = "decoded") -> DataFrame:
-    """All columns of ``encoded`` plus the text of the ids in ``column``."""
+    """All columns of ``encoded`` plus the text of the ids in ``column``, in place of a column ``into`` that is there."""
+    encoded = encoded.drop(into)
+    names, encoded = encoded.columns, undotted(encoded)
     vocab = _shipped(encoded.sparkSession, path)
     schema = encoded.select("*", F.lit(None).cast("string").alias(into)).schema
 
@@ -339,7 +345,7 @@ def decode(encoded: DataFrame, path: str = MODEL, column: str = "piece_ids", int
                 texts = [own.decode(values[ends[i] : ends[i + 1]].tolist()) if valid[i] else None for i in range(len(ids))]
                 yield _put(part, into, pa.array(texts, pa.string()))
 
-    return encoded.mapInArrow(run, schema)
+    return encoded.mapInArrow(run, schema).toDF(*names, into)
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,9 +12,10 @@ Merging reads shards in Spark partitions of a scan and narrows them to the wante
 shuffled. The driver holds one manifest entry per live run, never file lists of rows.
 
 Defined cases: nulls anywhere, repeated rows and any further columns are stored as they are, also if arrivals differ
-in columns (then null where an arrival has none); an empty arrival makes
-no run; an empty table has a manifest without runs and gives no rows. Column names that start with ``_shard`` are
-this module's own.
+in columns (then null where an arrival has none); texts of any length are one value of a shard; runs whose sizes are
+equal are in one tier, and are merged in the order of their arrivals; an empty arrival makes no run; an empty table
+has a manifest without runs and gives no rows. A column named _shard_run, _shard_tier or _shard_file is kept in the
+shards, and replaced by this module's in what ``read`` returns.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinlode.llm.common import folder, shared_dir, table
+from veinlode.llm.common import folder, free_names, shared_dir, table
 
 FAN_IN = 4
 TARGET_BYTES = 128 << 20
@@ -111,12 +112,13 @@ class ShardStore:
 
     def append(self, rows: DataFrame, arrival: str) -> int:
         """One arrival as one run."""
-        return self.append_all(rows.withColumn("_shard_arrival", F.lit(arrival)), "_shard_arrival")
+        by = free_names(rows, "arrival")[0]
+        return self.append_all(rows.withColumn(by, F.lit(arrival)), by)
 
     def append_all(self, rows: DataFrame, by: str) -> int:
         """Every value of column ``by`` is an arrival and becomes a run; one pass over ``rows``, one version."""
         load = f"load-{uuid.uuid4().hex}"
-        rows.withColumn("_shard_run", F.coalesce(F.col(by).cast("string"), F.lit("none"))).drop(by).write.partitionBy("_shard_run").parquet(f"{self.root}/runs/{load}")
+        rows.withColumn("_shard_load", F.coalesce(F.col(by).cast("string"), F.lit("none"))).drop(by).write.partitionBy("_shard_load").parquet(f"{self.root}/runs/{load}")
         fs, p = folder(self.spark, f"{self.root}/runs/{load}")
         made = sorted(s.getPath().getName() for s in fs.listStatus(p) if s.isDirectory())
         runs = [self._measured(f"{load}/{d}", (d.split("=", 1)[1],)) for d in made]
@@ -128,8 +130,9 @@ class ShardStore:
         runs = self.manifest(version)[1]
         out = None
         for r in runs:
-            path = F.col("_metadata.file_name")
-            part = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/runs/{r.name}").withColumns({"_shard_run": F.lit("+".join(r.arrivals)), "_shard_tier": F.lit(r.tier), "_shard_file": F.regexp_extract(path, r"part-(\d+)", 1).cast("int")})
+            part = self.spark.read.option("mergeSchema", "true").parquet(f"{self.root}/runs/{r.name}")
+            path = F.input_file_name()  # not _metadata, which may be a column of the rows
+            part = part.drop("_shard_run", "_shard_tier", "_shard_file").withColumns({"_shard_run": F.lit("+".join(r.arrivals)), "_shard_tier": F.lit(r.tier), "_shard_file": F.regexp_extract(path, r"part-(\d+)", 1).cast("int")})
             out = part if out is None else out.unionByName(part, allowMissingColumns=True)
         return out
 
@@ -174,9 +177,10 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     and every live row is listed with its run, tier and file."""
     docs = table(spark, sf_dir, "documents")
     store = ShardStore(spark, f"{shared_dir(spark)}/shards-{uuid.uuid4().hex}")
-    store.append_all(docs.withColumn("_shard_arrival", F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(ARRIVALS))), "_shard_arrival")
+    by = free_names(docs, "arrival")[0]
+    store.append_all(docs.withColumn(by, F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(ARRIVALS))), by)
     version = store.compact()
     live = store.read()
     if live is None:
-        live = docs.withColumns({"_shard_run": F.lit(""), "_shard_tier": F.lit(0), "_shard_file": F.lit(0)})
+        live = docs.drop("_shard_run", "_shard_tier", "_shard_file").withColumns({"_shard_run": F.lit(""), "_shard_tier": F.lit(0), "_shard_file": F.lit(0)})
     return live.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.col("_shard_run").alias("run"), F.col("_shard_tier").alias("tier"), F.col("_shard_file").alias("file"), F.lit(version).alias("version"))

@@ -1,8 +1,8 @@
 """Connected groups from blocks of candidates, without listing the pairs of a block.
 
 ``starred`` joins the ids of a block to one of them where the rows are made, ``meet`` does the same for what tasks have
-left, and ``settle`` verifies these edges, gives a new centre to those that are not in the group of theirs, and
-connects what is linked. No block is gathered, and every step has about as many rows as the blocks.
+left, and ``settle`` verifies these edges and connects what is linked. No block is gathered, and every step has about
+as many rows as the blocks.
 """
 
 from __future__ import annotations
@@ -124,57 +124,16 @@ def meet(keyed: DataFrame) -> DataFrame:
     return keyed.repartition(parts, "key", "b").sortWithinPartitions("key", "a").mapInArrow(_met, _STAR)
 
 
-def settle(stars: DataFrame, verify: Callable[[DataFrame], DataFrame], rounds: int = 2) -> DataFrame | None:
+def settle(stars: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
     """(item, root) of the items that links connect, from the edges (key, a, b) of blocks; None without a link.
 
-    ``verify`` takes pairs (a, b), a < b, and returns those that are links. Items of a block that are not in the group
-    of its centre meet the block's last item and a new centre among them, ``rounds`` - 1 times; those that are left then
-    and share two blocks are blocks in their turn. A round has two rows at most for every row of a block, so
-    a block of many different items (a template) costs as much as it is large.
+    ``verify`` takes pairs (a, b), a < b, and returns those that are links. An item is compared with the centres of all
+    its blocks, and it is the centre of some of them itself, so items that share several blocks are connected although
+    a block of many different items costs no more than its rows. What may remain apart in a block of several groups is
+    the caller's to compare.
     """
-    roots = None
-
-    def check(edges: DataFrame) -> None:
-        nonlocal roots
-        pairs = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
-        new = stash(verify(pairs).select("a", "b").distinct(), "links")
-        if not new.isEmpty():
-            before, roots = roots, components(new, roots)
-            if before is not None:
-                forget(edges.sparkSession, before)
-        forget(edges.sparkSession, new)
-
-    def apart(edges: DataFrame) -> DataFrame:
-        """(key, item, root) of the items that are not in the group of their centre."""
-        if roots is None:
-            return stash(edges.select("key", F.col("b").alias("item"), F.col("b").alias("root")), "apart")
-        both = edges.join(roots.toDF("a", "ra"), "a", "left").join(roots.toDF("b", "root"), "b", "left")
-        both = both.withColumn("ra", F.coalesce("ra", "a")).withColumn("root", F.coalesce("root", "b"))
-        return stash(both.where("ra <> root").select("key", F.col("b").alias("item"), "root"), "apart")
-
-    def centred(left: DataFrame) -> DataFrame:
-        centre = left.groupBy("key").agg(F.min(F.struct("item", "root")).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        return left.join(centre.select("key", "c"), "key").where("root <> c.root").select("key", F.col("c.item").alias("a"), F.col("item").alias("b"))
-
-    def rest(edges: DataFrame, left: DataFrame) -> DataFrame:
-        for _ in range(rounds - 1):
-            if edges.isEmpty():
-                break
-            check(edges)
-            before, left = left, apart(edges.where("not is_last") if "is_last" in edges.columns else edges)
-            forget(left.sparkSession, before)
-            edges = centred(left)
-        return left
-
-    check(stars)
-    left = apart(stars)
-    if left.isEmpty():
-        return roots
-    last = stars.groupBy("key").agg(F.max("b").alias("a"))
-    last = left.join(last, "key").where("a <> item").select("key", "a", F.col("item").alias("b"), F.lit(True).alias("is_last"))
-    left = rest(centred(left).withColumn("is_last", F.lit(False)).unionByName(last), left)
-    shared = left.join(left.select("item", F.col("key").alias("more")), "item").where("key < more")
-    shared = stash(shared.select(F.xxhash64("key", "more").alias("key"), "item", "root"), "apart")
-    forget(left.sparkSession, left)
-    forget(left.sparkSession, rest(centred(shared), shared))
+    pairs = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
+    new = stash(verify(pairs).select("a", "b"), "links")
+    roots = None if new.isEmpty() else components(new)
+    forget(stars.sparkSession, new)
     return roots

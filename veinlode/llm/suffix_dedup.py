@@ -42,7 +42,7 @@ from veinlode.llm.common import forget, stash, table
 LENGTH, GRAM = 400, 32
 SPAN = LENGTH - GRAM  # largest distance of a window's start from its smallest string
 #: Columns of a part, and different parts with one middle beyond which they are cut by the next width.
-WIDTHS, MANY = (96, 8), 1000
+WIDTHS, MANY = (96, 8), 20_000
 #: Bytes per partition of the construction.
 PART_BYTES = 8 << 20
 _PLACE = np.uint64((1 << 24) - 1)

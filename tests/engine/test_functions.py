@@ -3,7 +3,7 @@ import random
 from pyspark.sql import functions as F
 
 from veinlode.functions import identity, intervals
-from veinlode.operators import conflicts, ledger, resolve, selection, snapshots
+from veinlode.operators import conflicts, consolidation, ledger, resolve, selection, snapshots
 from veinlode.sources import chunks, lines
 
 
@@ -21,10 +21,60 @@ def test_segments(spark):
 
 
 def test_points(spark):
-    raw = ["2024", "2024-02", "2024-02-30", "2023-02", "2024-03-01", "2024-03-01T10:00:00+02:00", "2024-13", "x", None, "2024-03-01T10:00:00"]
-    df = spark.createDataFrame([(r,) for r in raw], "r string").select(intervals.point(F.col("r")).alias("p")).collect()
-    got = [None if r.p is None else tuple(r.p) for r in df]
-    assert got == [("2024-01-01", "2024-12-31", "year"), ("2024-02-01", "2024-02-29", "month"), None, ("2023-02-01", "2023-02-28", "month"), ("2024-03-01", "2024-03-01", "day"), ("2024-03-01T08:00:00Z", "2024-03-01T08:00:00Z", "second"), None, None, None, None]
+    def dated(start, end, precision, semantics):
+        return (start, end, precision, "unknown", None, semantics, "date", None)
+
+    def moment(text, precision, zone):
+        return (text, text, precision, "explicit" if zone else "unknown", zone, "inclusive", "dateTime", None)
+
+    want = {
+        "2024": dated("2024-01-01", "2024-12-31", "year", "coverage_envelope"),
+        "2024-02": dated("2024-02-01", "2024-02-29", "month", "coverage_envelope"),
+        " 2023-02 ": dated("2023-02-01", "2023-02-28", "month", "coverage_envelope"),
+        "2024-03-01": dated("2024-03-01", "2024-03-01", "day", "inclusive"),
+        "2024-03-01T10:00:00+02:00": moment("2024-03-01T10:00:00+02:00", "second", "+02:00"),
+        "2024-03-01 10:00": moment("2024-03-01T10:00:00", "minute", None),
+        "2024-03-01T10:00:00.5Z": moment("2024-03-01T10:00:00.500Z", "millisecond", "UTC"),
+        "2024-03-01T10:00:00.123456+00:00": moment("2024-03-01T10:00:00.123456Z", "microsecond", "UTC"),
+        "2024-03-01T10:00:00.1234567Z": (None, None, None, "unknown", None, "inclusive", None, "temporal_precision"),
+        "2024-02-30": None, "2024-13": None, "x": None, "2024-03-01T25:00:00Z": None, "2024-02-30T10:00:00Z": None,
+    }
+    before = spark.conf.get("spark.sql.session.timeZone")
+    for zone in ("UTC", "Europe/Rome"):
+        spark.conf.set("spark.sql.session.timeZone", zone)
+        got = spark.createDataFrame([(r,) for r in want], "r string").select("r", intervals.point(F.col("r")).alias("p")).collect()
+        assert {r.r: None if r.p is None else tuple(r.p) for r in got} == want
+        moments = ["2024-03-01T10:00:00+02:00", "2024-03-01T10:00:00.5Z", "2024-03-01T00:30:00-05:30", "2024-03-01", "2024-03-01T10:00:00", None]
+        got = spark.createDataFrame([(r,) for r in moments], "r string").select(intervals.normalized(F.col("r")).alias("n")).collect()
+        assert [r.n for r in got] == ["2024-03-01T08:00:00.000000Z", "2024-03-01T10:00:00.500000Z", "2024-03-01T06:00:00.000000Z", "2024-03-01", "2024-03-01T10:00:00", None]
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_comparable(spark):
+    rows = [("2024-01-01", "2024", False), ("2024-01-01", "2025-01-01", True), ("2024-01-01", "2024-01-01T10:00:00Z", False), (None, "2024-01-01", True), ("2024-01-01T10:00:00", "2024-01-01T10:00:00Z", False), ("2024-01-01T10:00:00+02:00", "2024-01-01T10:00:00Z", True)]
+    df = spark.createDataFrame(rows[1:], "a string, b string, want boolean")
+    assert all(r.got == r.want for r in df.withColumn("got", intervals.comparable(F.col("a"), F.col("b"))).collect())
+
+
+def test_intersection_is_folded_over_sources(spark):
+    spells = spark.createDataFrame([("a", 1, 2), ("a", 5, 6), ("b", 1, 6), ("c", None, 5), ("d", 9, None)], "subject string, start int, end int")
+    links = spark.createDataFrame([("a", "x"), ("b", "x"), ("a", "y"), ("b", "y"), ("c", "y"), ("a", "z"), ("d", "z"), ("c", "u"), ("c", "v"), ("none", "v")], "source string, target string")
+    got = sorted(tuple(r) for r in consolidation.propagate(spells, links, "intersection").select("target", "start", "end").collect() if r.target != "u")
+    assert got == [("x", 1, 2), ("x", 5, 6), ("y", 1, 2), ("y", 5, 5)]
+    assert [tuple(r) for r in consolidation.propagate(spells, links.where("target = 'u'"), "intersection").collect()] == [("u", None, 5)]
+
+
+def test_open_spells_hold_everything(spark):
+    edges = spark.createDataFrame([(1, "n", 1, 2), (2, "open", 1, 2), (3, "none", 1, 2), (4, "n", None, 2), (5, "left", None, 2), (6, "left", 1, 9)], "edge int, node string, start int, end int")
+    nodes = spark.createDataFrame([("n", 0, 3), ("open", None, None), ("left", None, 5)], "node string, start int, end int")
+    got = {r.edge: r.contained for r in snapshots.spells_inside(edges, nodes).collect()}
+    assert got == {1: True, 2: True, 3: True, 4: False, 5: True, 6: False}
+
+
+def test_placeholders(spark):
+    rows = [("${x}", True), ("${}", False), ("a {{b}} c", True), ("replace_me", True), ("todo", True), ("to do: todo list", False), ("Placeholder", True), ("<<x>>", True), ("plain", False)]
+    df = spark.createDataFrame(rows, "t string, want boolean").withColumn("got", identity.is_placeholder(F.col("t")))
+    assert [r.t for r in df.where("got <> want").collect()] == []
 
 
 def test_overlap_has_open_bounds(spark):
@@ -42,6 +92,9 @@ def test_chunks_give_the_text_back():
             assert "".join(text[a:b] for a, b, _ in made) == text and all(0 < b - a <= 80 for a, b, _ in made)
     made = chunks.cut("# A\ntext\n\n## B\nmore\n```\n# no head\n```\n# C\n", 1000, 10)
     assert [p for _, _, p in made] == [["A"], ["A", "B"], ["C"]]
+    text = "# A ##\r\nx\u2028## B\ny\n~~~\n# hidden\n```\n~~~~\n#### D\n## E\n#no\n"
+    made = chunks.cut(text, 1000, 1)
+    assert [p for _, _, p in made] == [["A ##"], ["A ##", "B"], ["A ##", "B", "D"], ["A ##", "E"]] and text[made[1][0] :].startswith("## B")
 
 
 def test_pairs_keep_the_last(spark):

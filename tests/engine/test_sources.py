@@ -71,3 +71,15 @@ def test_stream_counts_every_event_once(spark, tmp_path):
     q = stream.writeStream.format("memory").queryName("deduplicated").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("deduplicated").count() == src.count()
+
+
+def test_masked_literals_of_all_kinds():
+    cases = [("", "$x$ ; $x$", ";b"), ("", "q'[it's; ]'", ";c"), ("a ", "'never ; ends", ""), ("", "$$ ; never", ""), ("", "'a''b;'", ";d"), ("x", "/* ; */", "y"), ("x /* ;", "", "")]
+    assert [sql_text.mask_text(a + hidden + b) for a, hidden, b in cases] == [a + " " * len(hidden) + b for a, hidden, b in cases]
+
+
+def test_statements_of_a_long_script(spark):
+    script = "insert into t values ('a;b');\n" * 30_000
+    files_ = spark.createDataFrame([("p", script), ("q", None), ("r", ""), ("s", " ; ;x")], "path string, text string")
+    got = sql_text.statements(files_)
+    assert got.where("path = 'p'").count() == 30_001 and [tuple(r) for r in got.where("path = 's'").collect()] == [("s", 2, "x", "x")]

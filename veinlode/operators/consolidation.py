@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veinlode.functions.intervals import overlap
-
 
 def consolidate(signals: DataFrame) -> DataFrame:
     """signals(subject, role, value, reliability, sha, family) to buckets by value with an assessment.
@@ -57,21 +55,22 @@ def propagate(intervals: DataFrame, links: DataFrame, policy: str) -> DataFrame:
 def folded(spells: DataFrame) -> DataFrame:
     """(target, source, start, end) to the parts (target, start, end) that a spell of every source has in common.
 
-    Sources are paired and pairs are paired again, so there are as many joins as the logarithm of the most sources of
-    one target; only spells that meet go on. Null bounds are open.
+    Sources are paired and pairs are paired again, so there are as many rounds as the logarithm of the most sources of
+    one target; a round brings together the spells of two sources of a target, and only common parts go on. Null
+    bounds are open.
     """
     numbers = spells.select("target", "source").distinct().withColumn("k", F.row_number().over(Window.partitionBy("target").orderBy(F.col("source").asc_nulls_last())) - 1)
     most = numbers.agg(F.max("k")).first()[0] or 0
-    rows = spells.join(numbers, (spells["target"].eqNullSafe(numbers["target"])) & (spells["source"].eqNullSafe(numbers["source"]))).select(spells["target"], "k", "start", "end").distinct()
+    named = numbers.toDF("t", "s", "k")
+    rows = spells.join(named, F.col("target").eqNullSafe(F.col("t")) & F.col("source").eqNullSafe(F.col("s"))).select("target", "k", "start", "end").distinct()
     sizes = numbers.groupBy("target").agg((F.max("k") + 1).alias("n"))
     rows = rows.join(sizes, "target")
+    common = "flatten(transform(one, x -> transform(two, y -> struct(greatest(x.start, y.start) AS start, least(x.end, y.end) AS end))))"
     while most > 0:
-        at = F.floor(F.col("k") / 2).cast("int")
-        one = rows.where("k % 2 = 0").select("target", at.alias("k"), "n", "start", "end")
-        two = rows.where("k % 2 = 1").select("target", at.alias("k"), F.col("start").alias("s2"), F.col("end").alias("e2"))
-        lone = one.where("2 * k + 1 = n")
-        both = one.where("2 * k + 1 < n").join(two, ["target", "k"]).where(overlap(F.col("start"), F.col("end"), F.col("s2"), F.col("e2")))
-        both = both.select("target", "k", "n", F.greatest("start", "s2").alias("start"), F.least("end", "e2").alias("end"))
-        rows = lone.unionByName(both).withColumn("n", F.ceil(F.col("n") / 2).cast("int")).distinct()
+        side = lambda rest: F.collect_list(F.when(F.col("k") % 2 == rest, F.struct("start", "end")))
+        met = rows.groupBy("target", F.floor(F.col("k") / 2).cast("int").alias("at"), "n").agg(side(0).alias("one"), side(1).alias("two"))
+        parts = F.explode(F.when(F.col("at") * 2 + 1 == F.col("n"), F.col("one")).otherwise(F.expr(common)))  # the last one of an odd number goes on alone
+        rows = met.select("target", F.col("at").alias("k"), F.ceil(F.col("n") / 2).cast("int").alias("n"), parts.alias("s")).select("target", "k", "n", "s.start", "s.end")
+        rows = rows.where("start is null or end is null or start <= end").distinct()
         most //= 2
     return rows.select("target", "start", "end").distinct()

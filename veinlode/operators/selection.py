@@ -22,16 +22,16 @@ def exclusion_reasons(evidence: DataFrame) -> DataFrame:
 def greedy(ranked: DataFrame, max_items: int, max_chars: int) -> DataFrame:
     """ranked(plan, rank, id, chars): in rank order, take what still fits; a later smaller row may.
 
-    The walk over a plan is sequential by definition. What cannot be taken at all is cut off before: rows longer than
-    the whole budget. The fold runs over one array per plan, of ranks and sizes only.
+    What a plan takes next is the first row after the last one taken that fits into what is left, as nothing skipped
+    fits later. So there are ``max_items`` rounds of a join and a minimum per plan, and a plan's state is its budget
+    and the ids taken; a plan's rows are never gathered.
     """
-    fits = ranked.where(F.col("chars") <= max_chars)
-    plans = fits.groupBy("plan").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "chars"))).alias("rows"))
-    none = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(acc, row):
-        ok = (F.size(acc["ids"]) < max_items) & (acc["used"] + row["chars"] <= max_chars)
-        return F.when(ok, F.struct((acc["used"] + row["chars"]).alias("used"), F.concat(acc["ids"], F.array(row["id"])).alias("ids"))).otherwise(acc)
-
-    taken = plans.select("plan", F.aggregate("rows", none, step).alias("t"))
-    return taken.select("plan", F.posexplode("t.ids").alias("pos", "id")).select("plan", "id", (F.col("pos") + 1).cast("long").alias("place"))
+    rows = ranked.where(F.col("chars") <= max_chars).select(F.col("plan").alias("its"), "rank", "id", "chars")
+    left = F.lit(max_chars).cast("long")
+    state = rows.select(F.col("its").alias("plan")).distinct().select("plan", left.alias("left"), F.lit(None).cast(rows.schema["rank"].dataType).alias("last"), F.array().cast("array<bigint>").alias("ids"))
+    for _ in range(max_items):
+        fits = F.col("its").eqNullSafe(F.col("plan")) & (F.col("last").isNull() | (F.col("rank") > F.col("last"))) & (F.col("chars") <= F.col("left"))
+        first = F.min(F.when(F.col("id").isNotNull(), F.struct("rank", "id", "chars"))).alias("t")
+        found = rows.join(state, fits, "right").groupBy("plan", "left", "last", "ids").agg(first)
+        state = found.select("plan", (F.col("left") - F.coalesce("t.chars", F.lit(0))).alias("left"), F.coalesce("t.rank", "last").alias("last"), F.when(F.col("t").isNull(), F.col("ids")).otherwise(F.concat("ids", F.array(F.col("t.id").cast("bigint")))).alias("ids"))
+    return state.select("plan", F.posexplode("ids").alias("pos", "id")).select("plan", "id", (F.col("pos") + 1).cast("long").alias("place"))

@@ -105,16 +105,22 @@ def proposals(spark, d):
     return consolidation.proposals(consolidation.consolidate(o))
 
 
-def _links(spark, d):
+def _links(spark, d, start=None):
+    """Spells of orders from the third week on (the first ones have none, so their parts get none), to parts."""
     l, o = read(spark, d, "lineitem"), read(spark, d, "orders")
     links = l.select(F.col("l_orderkey").alias("source"), F.col("l_partkey").alias("target")).distinct()
-    spans = o.where("o_orderkey % 20 <> 0").select(F.col("o_orderkey").alias("subject"), F.to_date("o_orderdate").alias("start"), F.to_date(F.col("o_orderdate") + F.expr("interval 1200 days")).alias("end"))
-    return spans, links.where("target % 4 <> 0 or source % 20 <> 0").where("source % 50 < 3")
+    start = F.to_date("o_orderdate") if start is None else start
+    return o.where("o_orderdate >= date'1995-01-15'").select(F.col("o_orderkey").alias("subject"), start.alias("start"), F.date_add(start, 2200).alias("end")), links
 
 
-LINKS = """k AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS target FROM lineitem WHERE (l_partkey % 4 <> 0 OR l_orderkey % 20 <> 0) AND l_orderkey % 50 < 3),
- s AS (SELECT o_orderkey AS source, o_orderdate::DATE AS start, (o_orderdate + INTERVAL 1200 DAY)::DATE AS "end" FROM orders WHERE o_orderkey % 20 <> 0),
- f AS (SELECT k.target, s.start, s."end" FROM k LEFT JOIN s USING (source) WHERE target NOT IN (SELECT target FROM k WHERE source NOT IN (SELECT source FROM s)))"""
+def _links_sql(start: str) -> str:
+    return f"""k AS (SELECT DISTINCT l_orderkey AS source, l_partkey AS target FROM lineitem),
+ s AS (SELECT o_orderkey AS source, {start} AS start, ({start} + INTERVAL 2200 DAY)::DATE AS "end" FROM orders WHERE o_orderdate >= DATE '1995-01-15'),
+ f AS (SELECT k.source, k.target, s.start, s."end" FROM k LEFT JOIN s USING (source) WHERE target NOT IN (SELECT target FROM k WHERE source NOT IN (SELECT source FROM s)))"""
+
+
+LINKS = _links_sql("o_orderdate::DATE")
+ERAS = _links_sql("(CASE WHEN o_orderdate < DATE '2001-01-01' THEN DATE '1995-01-01' ELSE DATE '2001-01-01' END)")
 
 
 @query("t5_propagate_intersection", f"""WITH {LINKS}, n AS (SELECT target, count(DISTINCT source)::BIGINT AS n FROM f GROUP BY 1),
@@ -124,14 +130,15 @@ def propagate_intersection(spark, d):
     return consolidation.propagate(*_links(spark, d), "intersection")
 
 
-@query("t5_propagate_aggregation", f"WITH {LINKS} SELECT DISTINCT * FROM f")
+@query("t5_propagate_aggregation", f'WITH {LINKS} SELECT DISTINCT target, start, "end" FROM f')
 def propagate_aggregation(spark, d):
     return consolidation.propagate(*_links(spark, d), "aggregation")
 
 
-@query("t5_propagate_copy", f'WITH {LINKS} SELECT target, min(start) AS start, min("end") AS "end" FROM f GROUP BY target HAVING count(DISTINCT (start, "end")) = 1')
+@query("t5_propagate_copy", f'WITH {ERAS} SELECT target, min(start) AS start, min("end") AS "end" FROM f GROUP BY target HAVING count(DISTINCT (start, "end")) = 1')
 def propagate_copy(spark, d):
-    return consolidation.propagate(*_links(spark, d), "explicit_copy")
+    start = F.when(F.col("o_orderdate") < F.lit("2001-01-01").cast("date"), F.lit("1995-01-01")).otherwise(F.lit("2001-01-01")).cast("date")
+    return consolidation.propagate(*_links(spark, d, start), "explicit_copy")
 
 
 GRAPH = """f AS (SELECT o_orderkey AS fact_id, o_custkey AS entity, o_orderpriority AS source, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE END AS s, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE END AS e FROM orders),

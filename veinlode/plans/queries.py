@@ -162,13 +162,13 @@ def temporal_point(spark, d):
     return o.select("o_orderkey", "raw", "p.start", "p.end", "p.precision")
 
 
-SIGNALS = "sig AS (SELECT lang AS subject, source AS role, n_chars % 3 AS value, CASE doc_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS reliability, sha256(text) AS sha, source AS family FROM documents WHERE doc_id % 2 = 0 OR source < 'src15')"
+SIGNALS = "sig AS (SELECT lang AS subject, source AS role, n_chars % 3 AS value, CASE doc_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS reliability, sha256(text) AS sha, source AS family FROM documents)"
 
 
 @query("t4_temporal_consolidation", f"""WITH {SIGNALS}, b AS (SELECT subject, role, value, count(*)::BIGINT AS n, count(DISTINCT CASE WHEN reliability <> 'low' THEN sha || family END)::BIGINT AS independent FROM sig GROUP BY ALL)
  SELECT *, CASE WHEN count(*) OVER (PARTITION BY subject, role) > 1 THEN 'conflicting' WHEN independent > 1 THEN 'concordant' WHEN independent = 1 THEN 'single_or_correlated' ELSE 'low_quality' END AS assessment FROM b""")
 def temporal_consolidation(spark, d):
-    docs = read(spark, d, "documents").where("doc_id % 2 = 0 or source < 'src15'")
+    docs = read(spark, d, "documents")
     k = F.col("doc_id") % 3
     return consolidation.consolidate(docs.select(F.col("lang").alias("subject"), F.col("source").alias("role"), (F.col("n_chars") % 3).alias("value"), F.when(k == 0, "low").when(k == 1, "medium").otherwise("high").alias("reliability"), identity.digest(F.col("text")).alias("sha"), F.col("source").alias("family")))
 

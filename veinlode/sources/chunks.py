@@ -1,55 +1,71 @@
-"""Exact partition of texts into chunks at headings and paragraph ends."""
+"""Exact partition of texts into chunks at headings and paragraph ends.
+
+A text is cut into sections first, one per heading outside fenced code and one before the first heading; a section is
+then packed into chunks of whole paragraphs. A section's heading path is its parent's path and its own title, the
+parent being the nearest heading before it of a smaller level.
+"""
 
 from __future__ import annotations
 
-import bisect
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 SIZE, MINIMUM = 5000, 1
-_HEADING = re.compile(r"^(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$")
+#: What is a heading, a fence of code, and the end of a paragraph.
+_HEADING = re.compile(r"^(#{1,6})[ \t]+(.+?)[ \t]*\r?\n?$")
 _FENCE = re.compile(r"^ {0,3}(`{3,}|~{3,})")
 _BLANK = re.compile(r"\n[ \t]*\n+")
 
 
-def _headings(text: str) -> dict[int, tuple[int, str]]:
-    """Offset to (level, title) of the heading lines outside fenced code."""
-    found, at, fence = {}, 0, ""
-    for line in text.split("\n"):
-        mark = _FENCE.match(line)
-        if mark and not fence:
-            fence = mark[1]
-        elif mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence):
-            fence = ""
-        elif not fence and (m := _HEADING.match(line.rstrip("\r"))):
-            found[at] = (len(m[1]), m[2])
-        at += len(line) + 1
-    return found
+def _fenced(lines: list[str]) -> set[int]:
+    """Numbers of the lines in fenced code, its marks included; a fence that is never closed goes to the end."""
+    marks = [(i, m[1]) for i, line in enumerate(lines) if (m := _FENCE.match(line))]
+    inside: set[int] = set()
+    while marks:
+        (begin, mark), *later = marks
+        closing = [i for i, other in later if other.startswith(mark)]  # the same sign, at least as often
+        end = closing[0] if closing else len(lines) - 1
+        inside.update(range(begin, end + 1))
+        marks = [m for m in later if m[0] > end]
+    return inside
 
 
-def cut(text: str, size: int = SIZE, minimum: int = MINIMUM, strategy: str = "headings") -> list[tuple[int, int, list[str]]]:
-    """(start, end, heading path) of chunks of at most ``size`` characters that give the text back when joined.
+def sections(text: str, headings: bool = True) -> list[tuple[int, int, list[str]]]:
+    """(start, end, heading path) of the sections of a text."""
+    lines = text.splitlines(keepends=True)
+    hidden = _fenced(lines) if headings else set()
+    begins = [0, *accumulate(map(len, lines))]
+    found = [(begins[i], len(m[1]), m[2].strip()) for i, line in enumerate(lines) if headings and i not in hidden and (m := _HEADING.match(line))]
+    paths: list[list[str]] = []
+    newest = [-1] * 7  # place of the last heading of each level
+    for k, (_, level, title) in enumerate(found):
+        parent = max(newest[:level])
+        paths.append([*(paths[parent] if parent >= 0 else []), title])
+        newest[level] = k
+    starts = [h[0] for h in found]
+    head = [(0, starts[0] if starts else len(text), [])] if not starts or starts[0] else []
+    return head + list(zip(starts, [*starts[1:], len(text)], paths))
 
-    A chunk ends before the next heading at the latest; of the paragraph ends in reach the last one is taken if the
-    chunk gets at least ``minimum`` characters, else the text is cut hard.
-    """
-    heads = _headings(text) if strategy == "headings" else {}
-    marks = sorted({m.end() for m in _BLANK.finditer(text)} | set(heads) | {len(text)})
-    starts = sorted(heads)
-    out, path, pos, passed = [], [], 0, 0
-    while pos < len(text):
-        while passed < len(starts) and starts[passed] <= pos:
-            level, title = heads[starts[passed]]
-            path = [p for p in path if p[0] < level] + [(level, title)]
-            passed += 1
-        limit = min(len(text), pos + size, starts[passed] if passed < len(starts) else len(text))
-        best = marks[bisect.bisect_right(marks, limit) - 1] if marks[0] <= limit else 0
-        end = best if best >= pos + minimum else limit
-        out.append((pos, end, [t for _, t in path]))
-        pos = end
+
+def cut(text: str, size: int = SIZE, minimum: int = MINIMUM, strategy: str = "headings") -> list[tuple[int, int, list[str]]]:
+    """(start, end, heading path) of chunks of at most ``size`` characters that give the text back when joined. A chunk
+    ends with the last paragraph that fits if it gets ``minimum`` characters so, else it is filled up."""
+    ends = [m.end() for m in _BLANK.finditer(text)]
+    out = []
+    for at, stop, path in sections(text, strategy == "headings"):
+        while at < stop:
+            reach = min(at + size, stop)
+            if reach < stop:
+                k = bisect_right(ends, reach)
+                if k and ends[k - 1] >= at + minimum:
+                    reach = ends[k - 1]
+            out.append((at, reach, path))
+            at = reach
     return out
 
 

@@ -37,7 +37,7 @@ SEED = 17
 #: The first variants, for comparisons; an occurrence has any of 2^32.
 VARIANTS = 2
 #: Entries of a worker's store of segmented chunks; chunks of LONG characters or more are not kept.
-KEPT = 300_000
+KEPT = 200_000
 #: Chunks of texts that are encoded together.
 TOGETHER = 200_000
 LONG = 40
@@ -58,6 +58,19 @@ def load(path: str = MODEL) -> list[tuple[str, float, int]]:
     return [(p.piece, p.score, p.type) for p in proto.pieces]
 
 
+_M32, _VARIANT = 0xFFFFFFFF, 0x85EBCA77
+
+
+def table_of(vocab: list[tuple[str, float, int]]) -> list[bytes]:
+    """Bytes of every id: all that decoding needs."""
+    return [b"" if kind in (2, 3) else bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(_MARK, " ").encode() for p, _, kind in vocab]
+
+
+def decoded(table: list[bytes], ids) -> str:
+    raw = b"".join(map(table.__getitem__, ids))
+    return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+
+
 class Codec:
     def __init__(self, vocab: list[tuple[str, float, int]], dropout: float = DROPOUT, seed: int = SEED):
         self.byte = {int(p[3:5], 16): i for i, (p, _, kind) in enumerate(vocab) if kind == 6}
@@ -67,7 +80,7 @@ class Codec:
         self.of = [i for _, i in order]  # id by rank
         self.rank = {vocab[i][0]: r for r, i in enumerate(self.of)}
         self.salt = np.random.default_rng(seed).integers(0, 2**32, len(order)).tolist()
-        self.table = [b"" if kind in (2, 3) else bytes([int(p[3:5], 16)]) if kind == 6 else p.replace(_MARK, " ").encode() for p, _, kind in vocab]
+        self.table = table_of(vocab)
         self.limit, self.seed = int(dropout * 2**32), seed
         inner = any(len(p) > 1 and "\n" in p for p in self.rank) or any(_MARK in p.lstrip(_MARK) for p in self.rank)
         if any(_MARK in p.lstrip(_MARK) for p in self.rank):
@@ -90,11 +103,19 @@ class Codec:
         self.chars[32] = self.chars[ord(_MARK)]
         self.ids = np.array([*self.of, -1], np.int64)
         self.salts = np.array([*self.salt, 0], np.uint64)
-        #: Plain ids of a chunk, and the pieces and places of the merges that lead there.
-        self.kept: dict[str, tuple[tuple[int, ...], np.ndarray, np.ndarray]] = {}
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty store. A known chunk has a row; of every row there are the hash of the chunk, its length, its plain
+        ids, and the pieces and places of the merges that lead there, each one after the other in one array."""
+        mark = np.array([self.byte[b] for b in _MARK.encode()], np.int32)
+        self.row: dict[str, int] = {_MARK: 0}
+        self.hashes, self.lengths = np.array([self._key(_MARK, 0)], np.uint64), np.ones(1, np.int64)
+        self.flat, self.sizes = mark, np.array([len(mark)])
+        self.merged, self.places, self.merges = np.empty(0, np.int32), np.empty(0, np.int32), np.zeros(1, np.int64)
 
     def _key(self, chunk: str, variant: int) -> int:
-        return zlib.crc32(chunk.encode(), (self.seed * 0x9E3779B1 + variant * 0x85EBCA77) & 0xFFFFFFFF)
+        return zlib.crc32(chunk.encode(), self.seed * 0x9E3779B1 & _M32) + variant * _VARIANT & _M32
 
     def _skipped(self, piece: np.ndarray, key: np.ndarray, i: np.ndarray) -> np.ndarray:
         h = ((self.salts[piece] ^ key) + i.astype(np.uint64) * np.uint64(0x9E3779B1)) * np.uint64(0x85EBCA6B) & np.uint64(0xFFFFFFFF)
@@ -103,11 +124,13 @@ class Codec:
     def segment(self, chunk: str, variant: int = 0, plain: bool = False) -> tuple[int, ...]:
         """Ids of one chunk by agenda merging. Agenda entries are integers: rank, place (40 bits), length (16, as
         no piece is longer) from the top."""
+        return self._segment(chunk, self._key(chunk, variant), 0 if plain else self.limit)
+
+    def _segment(self, chunk: str, key: int, limit: int) -> tuple[int, ...]:
         if chunk == _MARK:
             return tuple(self.byte[b] for b in chunk.encode())
         part = list(chunk.replace(" ", _MARK))
-        n, get, limit, salt = len(part), self.rank.get, 0 if plain else self.limit, self.salt
-        key = self._key(chunk, variant) if limit else 0
+        n, get, salt = len(part), self.rank.get, self.salt
         agenda = []
         left = part[0]
         for i in range(n - 1):
@@ -157,8 +180,14 @@ class Codec:
         at = np.minimum(np.searchsorted(self.pair_keys, key), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == key, self.pair_ranks[at], self.none + 1)
 
-    def segment_many(self, chunks: list[str], variants: list[int], merges: list | None = None) -> list[tuple[int, ...]]:
-        """``segment`` of many chunks side by side: in each step every chunk takes the first of its agenda.
+    def segment_many(self, chunks: list[str], variants: list[int]) -> list[tuple[int, ...]]:
+        """``segment`` of many chunks side by side."""
+        flat, sizes = self._side_by_side(chunks, np.array([self._key(c, v) for c, v in zip(chunks, variants)], np.uint64))
+        return [tuple(x.tolist()) for x in np.split(flat, np.cumsum(sizes)[:-1])]
+
+    def _side_by_side(self, chunks: list[str], key: np.ndarray, merges: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many chunks, one after the other, and how many each has: in each step every chunk takes the first of
+        its agenda.
 
         A chunk's agenda is a row of ranks, one per place, of the piece that starts there; taking the leftmost of
         the smallest is what the agenda of ``segment`` does. With ``merges`` nothing is skipped, and (rows, pieces,
@@ -179,7 +208,6 @@ class Codec:
         nxt = np.tile(np.arange(1, wide + 2), (rows, 1))
         prv = np.tile(np.arange(-1, wide), (rows, 1))
         nxt[np.arange(rows), size - 1] = wide  # the last column is no character
-        key = np.array([self._key(c, v) for c, v in zip(chunks, variants)] if limit else np.zeros(rows), np.uint64)
         live = np.arange(rows)
         while len(live):
             rows_ranks = agenda[live]
@@ -205,20 +233,20 @@ class Codec:
             before = prv[r, i]
             has = before >= 0
             agenda[r[has], before[has]] = self._rank_of(part[r[has], before[has]], piece[has])
-        flat = self.ids[part[alive]]
-        ends = np.cumsum(alive.sum(axis=1)).tolist()
-        strange = np.zeros(rows, bool)
-        strange[np.flatnonzero((alive & (part == self.none)).any(axis=1))] = True
-        flat, at, out = flat.tolist(), 0, []
-        for chunk, variant, odd, end in zip(chunks, variants, strange.tolist(), ends):
-            out.append(self.segment(chunk, variant, merges is not None) if odd else tuple(flat[at:end]))
-            at = end
-        return out
+        flat, sizes = self.ids[part[alive]].astype(np.int32), alive.sum(axis=1)
+        odd = np.flatnonzero((alive & (part == self.none)).any(axis=1)).tolist()
+        if odd:  # characters that are no piece
+            parts = np.split(flat, np.cumsum(sizes)[:-1])
+            for r in odd:
+                parts[r] = np.array(self._segment(chunks[r], int(key[r]), limit), np.int32)
+                sizes[r] = len(parts[r])
+            flat = np.concatenate(parts)
+        return flat, sizes
 
     def encode(self, text: str) -> list[int]:
-        return self.encode_all([text])[0]
+        return self.encode_all([text])[0].tolist()
 
-    def encode_all(self, texts: list[str]) -> list[list[int]]:
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of texts, about ``TOGETHER`` chunks at a time."""
         out, cut, n = [], [], 0
         for t in texts:
@@ -230,50 +258,58 @@ class Codec:
         return out + self._encode(cut)
 
     def _learn(self, chunks: list[str]) -> None:
-        """Store the plain segmentations of chunks under ``LONG`` characters, made side by side."""
+        """Store the plain segmentations of chunks, made side by side."""
         chunks = sorted(chunks, key=lambda c: (len(c), c))
+        flat, sizes, merged, places, counts = [self.flat], [self.sizes], [self.merged], [self.places], [self.merges]
         for k in range(0, len(chunks), 4096):
             block, merges = chunks[k : k + 4096], []
-            made = self.segment_many(block, [0] * len(block), merges)
+            ids, n = self._side_by_side(block, np.zeros(len(block), np.uint64), merges)
             row, piece, at = (np.concatenate(x) for x in zip(*merges)) if merges else (np.empty(0, np.int64),) * 3
             order = np.argsort(row, kind="stable")
-            ends = np.searchsorted(row[order], np.arange(1, len(block)))
-            for c, ids, p, i in zip(block, made, np.split(piece[order], ends), np.split(at[order], ends)):
-                self.kept[c] = ids, p, i
-
-    def _encode(self, cut: list[tuple[str, list[str]]]) -> list[list[int]]:
-        if len(self.kept) > KEPT:
-            self.kept.clear()
-        names: dict[str, int] = {}
-        index = np.array([names.setdefault(c, len(names)) for _, chunks in cut for c in chunks], np.int64)
-        known, none = self.kept, np.empty(0, np.int64)
-        self._learn([c for c in names if c not in known and len(c) < LONG and c != _MARK])
-        known[_MARK] = self.segment(_MARK), none, none
-        plain = [known[c] if c in known else (None, none, none) for c in names]
-        flat = [plain[k][0] for k in index.tolist()]
+            for held, more in ((flat, ids), (sizes, n), (merged, piece[order].astype(np.int32)), (places, at[order].astype(np.int32)), (counts, np.bincount(row, minlength=len(block)))):
+                held.append(more)
+        self.row.update(zip(chunks, range(len(self.row), len(self.row) + len(chunks))))
+        self.flat, self.sizes, self.merged, self.places, self.merges = map(np.concatenate, (flat, sizes, merged, places, counts))
+        self.hashes = np.concatenate((self.hashes, np.array([self._key(c, 0) for c in chunks], np.uint64)))
+        self.lengths = np.concatenate((self.lengths, np.array([len(c) for c in chunks], np.int64)))
+
+    def _encode(self, cut: list[tuple[str, list[str]]]) -> list[np.ndarray]:
         texts = [c for _, chunks in cut for c in chunks]
-        variants = np.concatenate([self._pick(t, len(chunks)) for t, chunks in cut]).tolist() if cut else []
+        if not texts:
+            return [np.empty(0, np.int32) for _ in cut]
+        if len(self.row) > KEPT:
+            self._forget()
+        row = np.array([self.row.get(c, -1) for c in texts])
+        lacking = np.flatnonzero(row < 0).tolist()
+        if new := {c for k in lacking if len(c := texts[k]) < LONG}:
+            self._learn(list(new))
+            row[lacking] = [self.row.get(texts[k], -1) for k in lacking]
+        long = np.flatnonzero(row < 0).tolist()
+        row[long] = 0
+        variants = np.concatenate([self._pick(t, len(chunks)) for t, chunks in cut])
+        start, size = (np.cumsum(self.sizes) - self.sizes)[row], self.sizes[row]
+        pool, end = [self.flat], len(self.flat)
         if self.limit:
-            sizes = np.array([len(p) for _, p, _ in plain], np.int64)
-            first, own = np.cumsum(sizes) - sizes, sizes[index]
-            at = np.repeat(first[index] - (np.cumsum(own) - own), own) + np.arange(own.sum())
-            key = np.array([self._key(c, v) for c, v in zip(texts, variants)], np.uint64)
-            piece, place = (np.concatenate([none, *[p[k] for p in plain]])[at] for k in (1, 2))
-            of = np.repeat(np.arange(len(index)), own)
-            again = np.unique(of[self._skipped(piece, key[of], place)]).tolist()
-            again.sort(key=lambda k: len(texts[k]))
+            key = self.hashes[row] + variants * np.uint64(_VARIANT) & np.uint64(_M32)
+            own = self.merges[row]
+            at = np.repeat((np.cumsum(self.merges) - self.merges)[row] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+            of = np.repeat(np.arange(len(row)), own)
+            again = np.unique(of[self._skipped(self.merged[at], key[of], self.places[at])])
+            again = again[np.argsort(self.lengths[row[again]], kind="stable")]
             for k in range(0, len(again), 4096):
                 block = again[k : k + 4096]
-                for j, ids in zip(block, self.segment_many([texts[j] for j in block], [variants[j] for j in block])):
-                    flat[j] = ids
-        out, j = [], 0
-        for _, chunks in cut:
-            ids: list[int] = []
-            for k in range(j, j + len(chunks)):
-                ids.extend(self.segment(texts[k], variants[k]) if flat[k] is None else flat[k])
-            j += len(chunks)
-            out.append(ids)
-        return out
+                ids, n = self._side_by_side([texts[j] for j in block.tolist()], key[block])
+                start[block], size[block] = end + np.cumsum(n) - n, n
+                pool.append(ids)
+                end += len(ids)
+        for k in long:
+            pool.append(np.array(self.segment(texts[k], int(variants[k])), np.int32))
+            start[k], size[k] = end, len(pool[-1])
+            end += len(pool[-1])
+        ends = np.cumsum(size)
+        ids = np.concatenate(pool)[np.repeat(start - (ends - size), size) + np.arange(ends[-1])]
+        bounds = np.concatenate(([0], ends))[np.cumsum([len(chunks) for _, chunks in cut])]
+        return np.split(ids, bounds[:-1])
 
     def _pick(self, text: str, n: int) -> np.ndarray:
         """Variants of a text's chunks, by hash of seed, text and place."""
@@ -284,8 +320,7 @@ class Codec:
         return x >> np.uint64(32)
 
     def decode(self, ids) -> str:
-        raw = b"".join(map(self.table.__getitem__, ids))
-        return (raw[1:] if raw[:1] == b" " else raw).decode("utf-8", "replace")
+        return decoded(self.table, ids)
 
 
 _codecs: dict[tuple, Codec] = {}
@@ -322,7 +357,7 @@ def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: i
             for k in range(0, batch.num_rows, 250):
                 part = batch.slice(k, 250)
                 texts = part.column(column).to_pylist()
-                ids = [None if t is None else np.array(i, np.int32) for t, i in zip(texts, own.encode_all([t or "" for t in texts]))]
+                ids = [None if t is None else i for t, i in zip(texts, own.encode_all([t or "" for t in texts]))]
                 yield _put(part, into, pa.array(ids, pa.list_(pa.int32())))
 
     return docs.mapInArrow(run, schema).toDF(*names, into)
@@ -336,13 +371,13 @@ def decode(encoded: DataFrame, path: str = MODEL, column: str = "piece_ids", int
     schema = encoded.select("*", F.lit(None).cast("string").alias(into)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Codec(vocab.value, 0.0)
+        table = table_of(vocab.value)
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 ids = part.column(column)
                 values, ends, valid = ids.values.to_numpy(zero_copy_only=False), ids.offsets.to_numpy(), ids.is_valid().to_pylist()
-                texts = [own.decode(values[ends[i] : ends[i + 1]].tolist()) if valid[i] else None for i in range(len(ids))]
+                texts = [decoded(table, values[ends[i] : ends[i + 1]].tolist()) if valid[i] else None for i in range(len(ids))]
                 yield _put(part, into, pa.array(texts, pa.string()))
 
     return encoded.mapInArrow(run, schema).toDF(*names, into)

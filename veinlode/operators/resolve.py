@@ -23,6 +23,24 @@ def resolve(references: DataFrame, declared: DataFrame) -> DataFrame:
     return found.select("ref_id", status.alias("status"), F.when(F.col("n") == 1, F.col("target")).alias("target"), F.coalesce("n_targets", F.lit(0)).cast("long").alias("alternatives"))
 
 
+BODY = "::BODY."
+
+
+def resolve_units(references: DataFrame, declared: DataFrame) -> DataFrame:
+    """``resolve`` with the reason of each status; a reference that no declaration answers is looked for among the
+    members that only a package's body declares, whose names hold ``BODY``. Specification and body stay apart."""
+    first = resolve(references, declared)
+    lost = references.join(first.where("status = 'unresolved'").select("ref_id"), "ref_id", "left_semi")
+    bodies = declared.where(F.contains("name", F.lit(BODY))).withColumn("name", F.replace("name", F.lit(BODY), F.lit(".")))
+    again = resolve(lost, bodies).select("ref_id", *[F.col(c).alias(f"b_{c}") for c in ("status", "target", "alternatives")])
+    out = first.join(again, "ref_id", "left")
+    fallback = F.coalesce(F.col("b_status") != "unresolved", F.lit(False))
+    pick = lambda c: F.when(fallback, F.col(f"b_{c}")).otherwise(F.col(c)).alias(c)
+    status = F.when(fallback, F.col("b_status")).otherwise(F.col("status"))
+    reason = F.when(status == "unresolved", "target_absent").when(status == "ambiguous", "multiple_targets").when(fallback, "package_body_declaration").otherwise("unique_declaration")
+    return out.select("ref_id", pick("status"), pick("target"), pick("alternatives"), reason.alias("reason"))
+
+
 def foreign_keys(links: DataFrame, parents: DataFrame) -> DataFrame:
     """links(link_id, key), parents(key): resolved with exactly one parent, ambiguous with more, else unresolved."""
     n = parents.groupBy("key").agg(F.count(F.lit(1)).alias("n"))

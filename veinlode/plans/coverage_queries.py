@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veinlode.operators import coverage, listings
+from veinlode.functions import intervals
+from veinlode.operators import conflicts, coverage, listings, resolve
 from veinlode.plans.queries import query
-from veinlode.plans.staging import SQL, read
+from veinlode.plans.staging import SQL, part_facts, read
 from veinlode.plans.staging import ledger as staged
 
 RULES = [
@@ -111,3 +112,41 @@ def batch_members(spark, d):
 @query("j11_object_supports", f"WITH {SQL} SELECT e.object_id, row_number() OVER (PARTITION BY e.object_id ORDER BY e.candidate_id)::INTEGER AS place, e.candidate_id, e.record_type, s.path, c.evidence_id FROM eff e JOIN candidates c USING (candidate_id) JOIN revisions r USING (revision_id) JOIN sources s USING (source_id)")
 def object_supports(spark, d):
     return listings.object_supports(staged(spark, d))
+
+
+@query("a6_parse_outcomes", f"WITH {SQL} SELECT status, count(*)::BIGINT AS n FROM parses GROUP BY status")
+def parse_outcomes(spark, d):
+    return staged(spark, d)["parses"].groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("j22_value_classes", "WITH c AS (SELECT p_name AS slot, p_brand AS value, count(*)::BIGINT AS n FROM part GROUP BY ALL) SELECT slot, value, n, v::BIGINT AS n_values FROM (SELECT *, count(*) OVER (PARTITION BY slot) AS v FROM c) WHERE v > 1")
+def value_classes(spark, d):
+    return conflicts.value_conflicts(part_facts(spark, d))
+
+
+@query("e18_normalized", "SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE strftime(o_orderdate - INTERVAL 150 MINUTE, '%Y-%m-%dT%H:%M:%S') || '.250000Z' END AS moment FROM orders")
+def normalized(spark, d):
+    t = F.col("o_orderdate")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.date_format(t, "yyyy-MM-dd")).otherwise(F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'.25+02:30'"))
+    return read(spark, d, "orders").select("o_orderkey", intervals.normalized(raw).alias("moment"))
+
+
+UNITS = """decl AS (SELECT upper(n_name) || '.' || upper(c_mktsegment) || CASE WHEN c_custkey % 4 = 0 THEN '::BODY' ELSE '' END || '.K' || (c_custkey % 300) AS target, c_custkey % 2 AS signature FROM customer JOIN nation ON c_nationkey = n_nationkey),
+ suf AS (SELECT target, signature, array_to_string(list_slice(string_split(target, '.'), i, 3), '.') AS key FROM decl, (SELECT unnest([1, 2, 3]) AS i)),
+ bod AS (SELECT replace(target, '::BODY.', '.') AS target, signature FROM decl WHERE contains(target, '::BODY.')),
+ bsuf AS (SELECT target, signature, array_to_string(list_slice(string_split(target, '.'), i, 3), '.') AS key FROM bod, (SELECT unnest([1, 2, 3]) AS i)),
+ k AS (SELECT key, count(DISTINCT (target, signature)) AS n, count(DISTINCT target) AS t, min(target) AS target FROM suf GROUP BY key),
+ b AS (SELECT key, count(DISTINCT (target, signature)) AS n, count(DISTINCT target) AS t, min(target) AS target FROM bsuf GROUP BY key),
+ refs AS (SELECT o_orderkey AS ref_id, upper(n_name) || '.' || upper(c_mktsegment) || '.K' || (o_orderkey % 400) AS key FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey)"""
+
+
+@query("j19_body_fallback", f"""WITH {UNITS} SELECT ref_id, CASE WHEN coalesce(k.n, b.n) IS NULL THEN 'unresolved' WHEN coalesce(k.n, b.n) = 1 THEN 'resolved' ELSE 'ambiguous' END AS status, CASE WHEN k.n = 1 THEN k.target WHEN k.n IS NULL AND b.n = 1 THEN b.target END AS target,
+ coalesce(k.t, b.t, 0)::BIGINT AS alternatives, CASE WHEN coalesce(k.n, b.n) IS NULL THEN 'target_absent' WHEN coalesce(k.n, b.n) > 1 THEN 'multiple_targets' WHEN k.n IS NULL THEN 'package_body_declaration' ELSE 'unique_declaration' END AS reason
+ FROM refs LEFT JOIN k USING (key) LEFT JOIN b USING (key)""")
+def body_fallback(spark, d):
+    c, o = read(spark, d, "customer").join(read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")), read(spark, d, "orders")
+    quoted = F.concat(F.lit('"'), F.upper("n_name"), F.lit('"'))
+    number = lambda k, n: F.concat(F.lit("k"), (F.col(k) % n).cast("string"))
+    declared = c.select(F.col("c_custkey").alias("decl_id"), F.concat(quoted, F.lit("."), F.upper("c_mktsegment"), F.when(F.col("c_custkey") % 4 == 0, resolve.BODY).otherwise("."), number("c_custkey", 300)).alias("name"), (F.col("c_custkey") % 2).alias("signature"))
+    refs = o.join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("ref_id"), F.concat_ws(".", quoted, F.lower("c_mktsegment"), number("o_orderkey", 400)).alias("name"))
+    return resolve.resolve_units(refs, declared)

@@ -72,17 +72,17 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share=SHARE, cap=CAP) -> DataFram
     return ranked.select("source", "source_size", F.when(stops, capped).otherwise(free).alias("target"))
 
 
-def chance(doc_id: Column, text: Column, occurrence: Column, seed: str = SEED) -> Column:
-    """A number in [0, 1) from the first 52 bits of an md5 of seed, id, text and occurrence."""
-    own = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(F.md5(text.cast("binary")), F.lit("null")), F.lit(":"), occurrence.cast("string"))
+def chance(doc_id: Column, digest: Column, occurrence: Column, seed: str = SEED) -> Column:
+    """A number in [0, 1) from the first 52 bits of an md5 of seed, id, md5 of the text and occurrence."""
+    own = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.coalesce(digest, F.lit("null")), F.lit(":"), occurrence.cast("string"))
     return F.conv(F.substring(F.md5(own.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
 def _planned(docs: DataFrame, seed: str) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with size, source_size, target and copies, under the returned names."""
-    names = free_names(docs, "size", "its_source", "source_size", "target", "hash", "occurrence", "copies", "n", "its_id", "its_hash")
+    names = free_names(docs, "size", "its_source", "source_size", "target", "digest", "occurrence", "copies", "n", "its_id", "its_digest")
     size, its_source, source_size, target, hash_, occurrence, copies, n, its_id, its_hash = names
-    sized = docs.withColumns({size: words(F.col("text")), hash_: F.xxhash64("text")})
+    sized = docs.withColumns({size: words(F.col("text")), hash_: F.md5(F.col("text").cast("binary"))})  # the text itself isn't needed any more to plan
     sums = sized.groupBy("source").agg(F.sum(size).alias("source_size"))
     goal = stash(targets(sums), "mix-targets").toDF(its_source, source_size, target)
     # only rows that repeat id and text need a number; their table's size is known, so Spark broadcasts it only under its threshold
@@ -90,12 +90,12 @@ def _planned(docs: DataFrame, seed: str) -> tuple[DataFrame, dict[str, str]]:
     if twice.isEmpty():
         sized = sized.withColumn(occurrence, F.lit(1))
     else:
-        both = sized.join(twice, sized["doc_id"].eqNullSafe(twice[its_id]) & (sized[hash_] == twice[its_hash]), "left").drop(its_id, its_hash)
+        both = sized.join(twice, sized["doc_id"].eqNullSafe(twice[its_id]) & (sized[hash_].eqNullSafe(twice[its_hash])), "left").drop(its_id, its_hash)
         again = both.where(F.col(n).isNotNull()).withColumn(occurrence, F.row_number().over(Window.partitionBy("doc_id", hash_).orderBy(F.lit(1))))
         sized = both.where(F.col(n).isNull()).withColumn(occurrence, F.lit(1)).unionByName(again)
     out = sized.join(goal, F.col("source").eqNullSafe(F.col(its_source)))
     rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(0.0)
-    extra = (chance(F.col("doc_id"), F.col("text"), F.col(occurrence), seed) < rate - F.floor(rate)).cast("long")
+    extra = (chance(F.col("doc_id"), F.col(hash_), F.col(occurrence), seed) < rate - F.floor(rate)).cast("long")
     return out.withColumn(copies, F.floor(rate) + extra), {"size": size, "source_size": source_size, "target": target, "copies": copies}
 
 

@@ -8,7 +8,8 @@ similarity 0.8 meets with probability 1 - (1 - 0.8^6)^24 = 0.9993, one of 0.5 wi
 Texts with the same words are one item from the start, so copies are never paired. ``links.settle`` connects items
 without listing the pairs of a bucket. Where items of different classes are left in one bucket, an exact step
 follows: ``rest`` joins these items on their prefixes. Two sets of the similarity share one of the rarest
-|s| - t |s| + 1 shingles of each, so nothing is lost, and sets that share common shingles only (a template) never meet.
+|s| - t |s| + 1 shingles of each, and enough is left behind the first shared one, so nothing is lost, and sets that
+share common shingles only (a template) don't meet.
 The links of each item are counted afterwards, over all pairs of different texts in its class: classes are dealt into
 chunks of about ``CHUNK`` items, and every two chunks are one block that intersects its sets and gives counts per
 item, not pairs. Items are 128-bit hashes, of which pairs hold the first 64 bits.
@@ -172,9 +173,12 @@ def rest(stars: DataFrame, roots: DataFrame | None, grams: DataFrame, threshold:
     times = stash(each.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), (F.min("root") < F.max("root")).alias("shared")), "times")
     rank = F.row_number().over(Window.partitionBy("id").orderBy("n", "gram"))
     prefix = each.join(times, "gram").withColumn("rank", rank).where(F.col("rank") <= F.col("size") - F.ceil(threshold * F.col("size") - 1e-9) + 1)
-    prefix = stash(prefix.where("shared").select("gram", "id", "root", "size"), "prefix")
-    one, two = prefix.toDF("gram", "a", "ra", "sa"), prefix.toDF("gram", "b", "rb", "sb")
-    both = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9))
+    prefix = stash(prefix.where("shared").select("gram", "id", "root", "size", "rank"), "prefix")
+    one, two = prefix.toDF("gram", "a", "ra", "sa", "ia"), prefix.toDF("gram", "b", "rb", "sb", "ib")
+    # what two sets have in common from their first common shingle on is at most what is left of the shorter rest
+    rest_ = F.least(F.col("sa") - F.col("ia"), F.col("sb") - F.col("ib")) + 1
+    fits = (rest_ * (1 + threshold) >= threshold * (F.col("sa") + F.col("sb")) - 1e-6) & (F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9)
+    both = one.join(two, "gram").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & fits)
     return both.select("a", "b").distinct()
 
 

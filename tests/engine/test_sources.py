@@ -44,15 +44,16 @@ def test_statements_and_shapes(spark):
 
 
 def test_gates(spark):
-    evidence = spark.createDataFrame([("e", "the quoted text")], "evidence_id string, text string")
+    evidence = spark.createDataFrame([("e", "v", "the quoted text")], "evidence_id string, revision_id string, text string")
     good = {"fact_type": "a", "entity_name": "b", "property_name": "c", "property_value": "d"}
-    schema = "candidate_id string, record_type string, assertion_type string, confidence string, evidence_id string, evidence_text string, attributes map<string,string>"
-    row = lambda i, **k: (i, "candidate_fact", "explicit", "high", k.get("e", "e"), k.get("q", "quoted"), good | k.get("a", {}))
+    schema = "candidate_id string, record_type string, assertion_type string, confidence string, evidence_id string, source_revision_id string, evidence_text string, attributes map<string,string>"
+    row = lambda i, **k: (i, "candidate_fact", "explicit", "high", k.get("e", "e"), k.get("r", "v"), k.get("q", "quoted"), good | k.get("a", {}))
     reviews.require_none(reviews.candidate_errors(spark.createDataFrame([row("1"), row("2")], schema), evidence))
-    for bad, reason in ((row("1", q="other"), "evidence_quote_mismatch"), (row("1", e="x"), "evidence_required"), (row("1", a={"property_value": "TBD"}), "placeholder"), (row("1", a={"entity_name": ""}), "candidate_schema")):
+    for bad, reason in ((row("1", q="other"), "evidence_quote_mismatch"), (row("1", e="x"), "evidence_revision_mismatch"), (row("1", r="w"), "evidence_revision_mismatch"), (row("1", e=None), "evidence_required"), (row("1", q=" \n"), "evidence_required"), (row("1", a={"fact_type": "<<x>>"}), "placeholder"), (row("1", a={"property_value": "TBD"}), "placeholder"), (row("1", a={"entity_name": ""}), "candidate_schema")):
         with pytest.raises(reviews.GateError) as e:
             reviews.require_none(reviews.candidate_errors(spark.createDataFrame([bad, row("2")], schema), evidence))
         assert e.value.reason == reason
+    reviews.require_none(reviews.candidate_errors(spark.createDataFrame([row("1", a={"note": "TODO"})], schema), evidence))
 
 
 def test_undated_fact_keeps_an_entity_open(spark):

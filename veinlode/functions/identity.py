@@ -21,13 +21,18 @@ def uid(prefix: str, text: Column) -> Column:
 
 def ascii_name_key(name: Column) -> Column:
     """``name_key`` for plain ASCII names without quotes, as an expression."""
-    return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+    return F.lower(F.trim(F.regexp_replace(name, r"[\s\x1c-\x1f]+", " ")))
 
 
 def name_key_text(name: str) -> str:
-    """NFC, runs of white space as one blank, case folded; text in double quotes is left alone."""
-    parts = re.split(r'("[^"]*")', unicodedata.normalize("NFC", name).strip())
-    return "".join(p if p.startswith('"') and p.endswith('"') and len(p) > 1 else re.sub(r"\s+", " ", p).casefold() for p in parts)
+    """NFC, case folded, runs of white space as one blank and none at the ends of a part; text in double quotes (doubled
+    ones belong to it) is a part that is left alone."""
+    outside = lambda part: " ".join(part.split()).casefold()
+    out, at, text = [], 0, unicodedata.normalize("NFC", name)
+    for m in re.finditer(r'"(?:""|[^"])*"', text):
+        out += [outside(text[at : m.start()]), m.group()]
+        at = m.end()
+    return "".join([*out, outside(text[at:])])
 
 
 def _name_keys(names: pd.Series) -> pd.Series:

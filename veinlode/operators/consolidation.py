@@ -21,15 +21,21 @@ def consolidate(signals: DataFrame) -> DataFrame:
 
 
 def proposals(buckets: DataFrame) -> DataFrame:
-    """Interval proposals of consolidated buckets: one valid_from with one valid_to of a subject become one interval,
-    a lone one stays open on the other side, other roles are points."""
-    single = buckets.where("assessment <> 'conflicting'")
-    at = lambda role, what: F.max(F.when(F.col("role") == role, F.col(what)))
-    bound = single.where(F.col("role").isin("valid_from", "valid_to")).groupBy("subject").agg(at("valid_from", "value").alias("start"), at("valid_to", "value").alias("end"), F.max("independent").alias("independent"))
-    point = single.where(~F.col("role").isin("valid_from", "valid_to")).select("subject", F.col("value").alias("start"), F.col("value").alias("end"), "independent")
-    semantics = F.when(F.col("end").isNull(), "open_end").when(F.col("start").isNull(), "open_start").otherwise("inclusive")
-    confidence = F.when(F.col("independent") > 1, "medium").otherwise("low")
-    return bound.unionByName(point).select("subject", "start", "end", semantics.alias("semantics"), confidence.alias("confidence"))
+    """Interval proposals, one for every bucket, conflicting ones too (with low confidence).
+
+    One record of valid_from and one of valid_to of a subject become one interval, judged by its start; otherwise such
+    a bound stays open on the other side. Other roles are points.
+    """
+    records = lambda role: F.coalesce(F.sum(F.when(F.col("role") == role, F.col("n"))), F.lit(0))
+    ends = buckets.groupBy("subject").agg(records("valid_from").alias("n_from"), records("valid_to").alias("n_to"), F.max(F.when(F.col("role") == "valid_to", F.col("value"))).alias("its_end"))
+    df = buckets.join(ends, buckets["subject"].eqNullSafe(ends["subject"])).drop(ends["subject"])
+    paired = (F.col("n_from") == 1) & (F.col("n_to") == 1)
+    df = df.where(~(paired & (F.col("role") == "valid_to")))
+    start = F.when(F.col("role") != "valid_to", F.col("value"))
+    end = F.when(F.col("role") != "valid_from", F.col("value")).when(paired, F.col("its_end"))
+    semantics = F.when(end.isNull(), "open_end").when(start.isNull(), "open_start").otherwise("inclusive")
+    confidence = F.when((F.col("independent") > 1) & (F.col("assessment") != "conflicting"), "medium").otherwise("low")
+    return df.select("subject", start.alias("start"), end.alias("end"), semantics.alias("semantics"), confidence.alias("confidence"))
 
 
 def propagate(intervals: DataFrame, links: DataFrame, policy: str) -> DataFrame:

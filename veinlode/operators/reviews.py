@@ -26,23 +26,23 @@ class GateError(ValueError):
 
 
 def candidate_errors(batch: DataFrame, evidence: DataFrame) -> DataFrame:
-    """batch(candidate_id, record_type, assertion_type, confidence, evidence_id, evidence_text, attributes map) with
-    every reason against each candidate: missing fields, enumerations, placeholders, evidence and its quotation."""
+    """batch(candidate_id, record_type, assertion_type, confidence, evidence_id, source_revision_id, evidence_text,
+    attributes map) against evidence(evidence_id, revision_id, text) with every reason against each candidate: missing
+    fields and enumerations (one code), placeholders in the fields of its type, evidence and its quotation."""
     get = lambda k: F.try_element_at("attributes", F.lit(k))
-    lacking = F.lit(False)
-    for kind, names in REQUIRED.items():
-        for n in names:
-            lacking = lacking | ((F.col("record_type") == kind) & (F.coalesce(F.trim(get(n)), F.lit("")) == ""))
-    e = evidence.select("evidence_id", F.col("text").alias("_text"), F.lit(True).alias("_there"))
+    own = F.coalesce(*[F.when(F.col("record_type") == kind, F.array(*[get(n) for n in names])) for kind, names in REQUIRED.items()])
+    lacking = F.coalesce(F.exists(own, lambda v: F.coalesce(F.trim(v), F.lit("")) == ""), F.lit(True))
+    enumerated = F.col("assertion_type").isin("explicit", "observed", "inferred", "ambiguous") & F.col("confidence").isin("low", "medium", "high")
+    e = evidence.select("evidence_id", F.col("text").alias("_text"), F.col("revision_id").alias("_revision"))
     counts = batch.groupBy("candidate_id").agg(F.count(F.lit(1)).alias("_n"))
     rows = batch.join(e, "evidence_id", "left").join(counts, "candidate_id")
     quoted = F.coalesce(F.contains("_text", "evidence_text"), F.lit(False))
+    bare = F.col("evidence_id").isNull() | ~F.coalesce(F.col("evidence_text").rlike(r"\S"), F.lit(False))
     reasons = F.array_compact(
         F.array(
-            F.when(lacking | ~F.col("record_type").isin(*REQUIRED), "candidate_schema"),
-            F.when(~F.coalesce(F.col("assertion_type").isin("explicit", "observed", "inferred", "ambiguous") & F.col("confidence").isin("low", "medium", "high"), F.lit(False)), "candidate_enum"),
-            F.when(F.exists(F.map_values("attributes"), lambda v: F.coalesce(is_placeholder(v), F.lit(False))), "placeholder"),
-            F.when(F.col("_there").isNull(), "evidence_required").when(~quoted, "evidence_quote_mismatch"),
+            F.when(lacking | ~F.coalesce(enumerated, F.lit(False)), "candidate_schema"),
+            F.when(F.exists(own, lambda v: F.coalesce(is_placeholder(v), F.lit(False))), "placeholder"),
+            F.when(bare, "evidence_required").when(~F.coalesce(F.col("_revision") == F.col("source_revision_id"), F.lit(False)), "evidence_revision_mismatch").when(~quoted, "evidence_quote_mismatch"),
             F.when(F.col("_n") > 1, "duplicate_candidate_id"),
         )
     )

@@ -47,20 +47,22 @@ def table_columns(spark, d):
     return s.select("path", F.explode(sql_text.table_columns(F.col("bare"))).alias("c")).select("path", "c.name", "c.type", "c.not_null")
 
 
-@query("g8_candidate_errors", """WITH b AS (SELECT CASE WHEN doc_id % 50 = 7 THEN doc_id - 1 ELSE doc_id END AS candidate_id, doc_id, doc_id % 9 = 0 AS lacking, doc_id % 7 = 0 AS enum, doc_id % 11 = 0 AS holder, doc_id % 13 = 0 AS absent, doc_id % 5 = 0 AND length(text) > 0 AS misquoted FROM documents),
+@query("g8_candidate_errors", """WITH b AS (SELECT CASE WHEN doc_id % 50 = 7 THEN doc_id - 1 ELSE doc_id END AS candidate_id, doc_id, doc_id % 9 = 0 OR doc_id % 7 = 0 AS schema, doc_id % 11 = 0 AND doc_id % 9 <> 0 AS holder, doc_id % 17 = 0 AS bare, doc_id % 13 = 0 OR doc_id % 19 = 0 AS other, doc_id % 5 = 0 AS misquoted,
+   length(regexp_replace(substr(text, 1, 20), '\\s', '', 'g')) = 0 AND doc_id % 5 <> 0 AS blank FROM documents),
  n AS (SELECT candidate_id, count(*) AS n FROM b GROUP BY 1)
- SELECT candidate_id, unnest(list_filter([CASE WHEN lacking THEN 'candidate_schema' END, CASE WHEN enum THEN 'candidate_enum' END, CASE WHEN holder THEN 'placeholder' END,
-   CASE WHEN absent THEN 'evidence_required' WHEN misquoted THEN 'evidence_quote_mismatch' END, CASE WHEN n > 1 THEN 'duplicate_candidate_id' END], lambda x: x IS NOT NULL)) AS reason FROM b JOIN n USING (candidate_id)""")
+ SELECT candidate_id, unnest(list_filter([CASE WHEN schema THEN 'candidate_schema' END, CASE WHEN holder THEN 'placeholder' END,
+   CASE WHEN bare OR blank THEN 'evidence_required' WHEN other THEN 'evidence_revision_mismatch' WHEN misquoted THEN 'evidence_quote_mismatch' END, CASE WHEN n > 1 THEN 'duplicate_candidate_id' END], lambda x: x IS NOT NULL)) AS reason FROM b JOIN n USING (candidate_id)""")
 def candidate_errors(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "text", "lang", "source")
     i = F.col("doc_id")
-    attributes = F.create_map(F.lit("fact_type"), F.lit("t"), F.lit("entity_name"), F.when(i % 9 == 0, " ").otherwise(F.col("lang")), F.lit("property_name"), F.lit("p"), F.lit("property_value"), F.when(i % 11 == 0, "${x}").otherwise(F.col("source")))
-    quote = F.when((i % 5 == 0) & (F.length("text") > 0), F.concat(F.col("text"), F.lit("\x01"))).otherwise(F.substring("text", 1, 20))
+    attributes = F.create_map(F.lit("fact_type"), F.lit("t"), F.lit("entity_name"), F.when(i % 9 == 0, " ").when(i % 11 == 0, "${x}").otherwise(F.col("lang")), F.lit("property_name"), F.lit("p"), F.lit("property_value"), F.col("source"), F.lit("note"), F.when(i % 4 == 0, "TODO").otherwise("n"))
+    quote = F.when(i % 5 == 0, F.concat(F.col("text"), F.lit("\x01"))).otherwise(F.substring("text", 1, 20))
     batch = docs.select(
         F.when(i % 50 == 7, i - 1).otherwise(i).alias("candidate_id"), F.lit("candidate_fact").alias("record_type"), F.when(i % 7 == 0, "guessed").otherwise("explicit").alias("assertion_type"), F.lit("high").alias("confidence"),
-        i.alias("evidence_id"), quote.alias("evidence_text"), attributes.alias("attributes"),
+        F.when(i % 17 != 0, i).alias("evidence_id"), F.format_string("r%d", i).alias("source_revision_id"), quote.alias("evidence_text"), attributes.alias("attributes"),
     )
-    return reviews.candidate_errors(batch, docs.where(i % 13 != 0).select(i.alias("evidence_id"), "text"))
+    evidence = docs.select(F.when(i % 13 != 0, i).otherwise(-i - 1).alias("evidence_id"), F.when(i % 19 != 0, F.format_string("r%d", i)).otherwise("r").alias("revision_id"), "text")
+    return reviews.candidate_errors(batch, evidence)
 
 
 @query("g9_review_checks", """WITH r AS (SELECT event_id AS key, user_id AS u, CASE WHEN event_id % 10 = 3 THEN 'needs_review' WHEN event_id % 10 = 8 THEN 'pending' ELSE 'confirmed' END AS outcome,
@@ -94,11 +96,12 @@ def auto_review(spark, d):
     return reviews.auto_review(states, policies).select("candidate_id")
 
 
-@query("t3_proposals", """WITH b AS (SELECT o_custkey AS subject, CASE o_orderkey % 3 WHEN 0 THEN 'valid_from' WHEN 1 THEN 'valid_to' ELSE 'effective_date' END AS role, o_orderdate::DATE AS value, count(DISTINCT o_orderpriority) AS independent FROM orders GROUP BY ALL),
- u AS (SELECT * FROM b QUALIFY count(*) OVER (PARTITION BY subject, role) = 1),
- p AS (SELECT subject, max(CASE WHEN role = 'valid_from' THEN value END) AS s, max(CASE WHEN role = 'valid_to' THEN value END) AS e, max(independent) AS i FROM u WHERE role <> 'effective_date' GROUP BY subject
-  UNION ALL SELECT subject, value, value, independent FROM u WHERE role = 'effective_date')
- SELECT subject, s AS start, e AS "end", CASE WHEN e IS NULL THEN 'open_end' WHEN s IS NULL THEN 'open_start' ELSE 'inclusive' END AS semantics, CASE WHEN i > 1 THEN 'medium' ELSE 'low' END AS confidence FROM p""")
+@query("t3_proposals", """WITH b AS (SELECT o_custkey AS subject, CASE o_orderkey % 3 WHEN 0 THEN 'valid_from' WHEN 1 THEN 'valid_to' ELSE 'effective_date' END AS role, o_orderdate::DATE AS value, count(*) AS n, count(DISTINCT o_orderpriority) AS independent FROM orders GROUP BY ALL),
+ u AS (SELECT *, count(*) OVER (PARTITION BY subject, role) > 1 AS conflict, coalesce(sum(n) FILTER (role = 'valid_from') OVER (PARTITION BY subject), 0) = 1 AND coalesce(sum(n) FILTER (role = 'valid_to') OVER (PARTITION BY subject), 0) = 1 AS paired,
+  max(value) FILTER (role = 'valid_to') OVER (PARTITION BY subject) AS its_end FROM b)
+ SELECT subject, CASE WHEN role <> 'valid_to' THEN value END AS start, CASE WHEN role <> 'valid_from' THEN value WHEN paired THEN its_end END AS "end",
+  CASE WHEN role = 'valid_from' AND NOT paired THEN 'open_end' WHEN role = 'valid_to' THEN 'open_start' ELSE 'inclusive' END AS semantics, CASE WHEN independent > 1 AND NOT conflict THEN 'medium' ELSE 'low' END AS confidence
+ FROM u WHERE NOT (paired AND role = 'valid_to')""")
 def proposals(spark, d):
     m = F.col("o_orderkey") % 3
     o = read(spark, d, "orders").select(F.col("o_custkey").alias("subject"), F.when(m == 0, "valid_from").when(m == 1, "valid_to").otherwise("effective_date").alias("role"), F.to_date("o_orderdate").alias("value"), F.lit("high").alias("reliability"), F.col("o_orderpriority").alias("sha"), F.lit("f").alias("family"))

@@ -85,13 +85,6 @@ def status_counts(spark, d):
     return out
 
 
-@query("g12_merge", f"""WITH {SQL} SELECT record_type || ':' || split_part(root_id, '-', 2) AS semantic_key, min(candidate_id) AS first_candidate, count(*)::BIGINT AS supports_added
-  FROM states WHERE state = 'confirmed' AND leaf AND source_status = 'active' AND current_revision AND current_parse AND current_derivation GROUP BY 1""")
-def merge(spark, d):
-    ok = ledger.candidate_states(staged(spark, d)).where(f"state = 'confirmed' and {ledger.EFFECTIVE}")
-    return ledger.merge(ok.withColumn("semantic_key", F.concat("record_type", F.lit(":"), F.split_part(F.col("root_id"), F.lit("-"), F.lit(2)))))
-
-
 @query("k2_append_new", "SELECT DISTINCT sha256(text) AS sha FROM documents a WHERE doc_id % 4 = 0 AND NOT EXISTS (SELECT 1 FROM documents b WHERE b.doc_id % 4 <> 0 AND b.text = a.text)")
 def append_new(spark, d):
     docs = read(spark, d, "documents").select("doc_id", identity.digest(F.col("text")).alias("sha"))
@@ -188,14 +181,14 @@ def selection_reasons(spark, d):
     return selection.exclusion_reasons(_evidence(spark, d))
 
 
-@query("o5_greedy_selection", f"""WITH RECURSIVE {EVIDENCE}, ranked AS (SELECT source AS plan, id, chars, row_number() OVER (PARTITION BY source ORDER BY id) AS rk FROM ev WHERE chars <= 20000),
+@query("o5_greedy_selection", f"""WITH RECURSIVE {EVIDENCE}, ranked AS (SELECT source AS plan, id, chars, row_number() OVER (PARTITION BY source ORDER BY id % 5, id) AS rk FROM ev WHERE chars <= 20000),
  walk AS (SELECT plan, 0::BIGINT AS rk, 0::BIGINT AS used, []::BIGINT[] AS ids FROM (SELECT DISTINCT plan FROM ranked)
   UNION ALL SELECT w.plan, r.rk, CASE WHEN len(w.ids) < 12 AND w.used + r.chars <= 20000 THEN w.used + r.chars ELSE w.used END, CASE WHEN len(w.ids) < 12 AND w.used + r.chars <= 20000 THEN list_append(w.ids, r.id) ELSE w.ids END
   FROM walk w JOIN ranked r ON r.plan = w.plan AND r.rk = w.rk + 1),
  last AS (SELECT plan, arg_max(ids, rk) AS ids FROM walk GROUP BY plan)
  SELECT plan, unnest(ids) AS id, unnest(range(1, len(ids) + 1))::BIGINT AS place FROM last""")
 def greedy_selection(spark, d):
-    return selection.greedy(_evidence(spark, d).select(F.col("source").alias("plan"), F.col("id").alias("rank"), "id", "chars"), 12, 20000)
+    return selection.greedy(_evidence(spark, d).select(F.col("source").alias("plan"), (F.col("id") % 5).alias("rank"), "id", "chars"), 12, 20000)
 
 
 @query("a7_coverage_rollup", f"WITH {EVIDENCE} SELECT source, count(*)::BIGINT AS expected, count(*) FILTER (coverage = 'confirmed')::BIGINT AS materialized, count(*) FILTER (coverage = 'rejected')::BIGINT AS blocked, count(*) FILTER (coverage = 'none')::BIGINT AS due_missing, bool_and(coverage <> 'none') AS complete FROM ev GROUP BY source")

@@ -5,23 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-LOG_LINE = r"^(\S+)\s+([A-Z]+)\s+(\S+)\s+(.*)$"
-PAIR = r"(\w+)=(\S+)"
+from veinlode.sources.logs import LINE, pairs  # noqa: F401  (pairs belongs to lines too)
 
 
 def log_fields(line: Column) -> Column:
-    """timestamp LEVEL component message, or null for other lines."""
-    part = lambda i: F.regexp_extract(line, LOG_LINE, i)
+    """Time, level, component and message, or null for other lines."""
+    part = lambda i: F.regexp_extract(line, LINE, i)
     message = part(4)
-    return F.when(line.rlike(LOG_LINE), F.struct(part(1).alias("time"), part(2).alias("level"), part(3).alias("component"), message.alias("message"), F.lower(F.regexp_extract(message, r"^(\S+)", 1)).alias("event_kind")))
-
-
-def pairs(message: Column) -> Column:
-    """k=v pairs as a map; of repeated keys the last wins."""
-    keys, values = F.regexp_extract_all(message, F.lit(PAIR), F.lit(1)), F.regexp_extract_all(message, F.lit(PAIR), F.lit(2))
-    entries = F.arrays_zip(keys.alias("k"), values.alias("v"))
-    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.greatest(F.size(keys), F.lit(1))), e["k"]))
-    return F.map_from_entries(last)
+    return F.when(line.rlike(LINE), F.struct(part(1).alias("time"), part(2).alias("level"), part(3).alias("component"), message.alias("message"), F.lower(F.regexp_extract(message, r"^(\S+)", 1)).alias("event_kind")))
 
 
 def json_record(line: Column, *names: str) -> list[Column]:

@@ -42,7 +42,7 @@ def test_points(spark):
     before = spark.conf.get("spark.sql.session.timeZone")
     for zone in ("UTC", "Europe/Rome"):
         spark.conf.set("spark.sql.session.timeZone", zone)
-        got = spark.createDataFrame([(r,) for r in want], "r string").select("r", intervals.point(F.col("r")).alias("p")).collect()
+        got = intervals.with_point(spark.createDataFrame([(r,) for r in want], "r string"), "r", "p").collect()
         assert {r.r: None if r.p is None else tuple(r.p) for r in got} == want
         moments = ["2024-03-01T10:00:00+02:00", "2024-03-01T10:00:00.5Z", "2024-03-01T00:30:00-05:30", "2024-03-01", "2024-03-01T10:00:00", None]
         got = spark.createDataFrame([(r,) for r in moments], "r string").select(intervals.normalized(F.col("r")).alias("n")).collect()
@@ -147,3 +147,45 @@ def test_diff(spark):
     a = spark.createDataFrame([(2, "c"), (3, "d")], "key long, payload string")
     assert sorted((r.key, r.change) for r in snapshots.diff(b, a).collect()) == [(1, "removed"), (2, "changed"), (3, "added")]
     assert snapshots.diff(b, b).count() == 0
+
+
+def test_zones(spark):
+    """Every hour and some minutes around the changes of a few zones, against the standard library."""
+    from datetime import datetime, timedelta, timezone
+    from zoneinfo import ZoneInfo
+
+    rows = []
+    for zone, around in (("Europe/Rome", ("2024-03-31", "2024-10-27", "1944-09-17")), ("America/New_York", ("2021-11-07",)), ("Australia/Lord_Howe", ("2023-04-02", "2023-10-01")), ("Pacific/Apia", ("2011-12-30",)), ("UTC", ("2024-03-31",)), ("Asia/Kolkata", ("2024-01-01",))):
+        for day in around:
+            t = datetime.fromisoformat(day) - timedelta(hours=8)
+            while t < datetime.fromisoformat(day) + timedelta(hours=32):
+                rows.append((zone, t.isoformat()))
+                t += timedelta(minutes=10)
+    rows += [("Europe/Rome", "2024-10-27T02:30:00Z"), ("Europe/Rome", "2024-10-27"), (None, "2024-10-27T02:30"), ("Europe/Rome", "2024-07-01 10:00:00.5")]
+    for session in ("UTC", "America/New_York"):
+        spark.conf.set("spark.sql.session.timeZone", session)
+        try:
+            got = {(r.z, r.r): r.p for r in intervals.with_point(spark.createDataFrame(rows, "z string, r string"), "r", "p", F.col("z")).collect()}
+        finally:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
+        for zone, raw in rows[:-4]:
+            local = datetime.fromisoformat(raw)
+            a, b = (local.replace(tzinfo=ZoneInfo(zone), fold=f) for f in (0, 1))
+            p = got[zone, raw]
+            if a.utcoffset() != b.utcoffset():
+                assert p.error == "ambiguous_local_time" and p.start is None, (zone, raw)
+            else:
+                assert (p.start, p.timezone_status, p.timezone_value, p.error) == (a.isoformat().replace("+00:00", "Z"), "resolved", zone, None), (zone, raw, p)
+                assert datetime.fromisoformat(p.start).astimezone(timezone.utc) == a.astimezone(timezone.utc)
+        assert (got["Europe/Rome", "2024-10-27T02:30:00Z"].timezone_status, got["Europe/Rome", "2024-10-27"].precision, got[None, "2024-10-27T02:30"].timezone_status) == ("explicit", "day", "unknown")
+        assert got["Europe/Rome", "2024-07-01 10:00:00.5"].start == "2024-07-01T10:00:00.500+02:00"
+
+
+def test_text_overlap(spark):
+    rows = [
+        ("2020-01-01", "2020-02-01", "2020-02-02", None, False), ("2020-01-01", "2020-02-01", "2020-02-01T10:00:00Z", None, True), ("2020-01-01T00:00:00Z", "2020-01-01T10:00:00+02:00", "2020-01-01T08:00:01Z", None, False),
+        ("2020-01-01T00:00:00Z", "2020-01-01T10:00:00+02:00", "2020-01-01T08:00:00Z", None, True), ("2020-01-01T00:00:00", "2020-01-01T10:00:00.500", "2020-01-01T10:00:00.500000", None, True), ("2020-01-01T00:00:00", "2020-01-01T10:00:00", "2020-01-01T10:00:00.001", None, False),
+        (None, "2020", None, None, True), ("2020-03-01", None, None, "2020-02-01", False), ("2020-01-01T00:00:00", "2020-01-01T10:00:00", "2020-02-01T08:00:00Z", None, True),
+    ]
+    got = spark.createDataFrame(rows, "a string, b string, c string, d string, want boolean").withColumn("got", intervals.text_overlap(*map(F.col, "abcd"))).collect()
+    assert all(r.got == r.want for r in got), [r for r in got if r.got != r.want]

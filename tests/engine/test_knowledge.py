@@ -263,3 +263,67 @@ def test_log_offsets_over_splits(spark, tmp_path):
         assert (r.text, r.start) == (line.rstrip("\r"), at) and text[r.start : r.stop] == r.text
         at += len(line) + 1
     assert [(r.line, r.start, r.stop) for r in got if r.path.endswith("b.log")] == [(1, 0, 23)]
+
+
+def test_set_digests(spark):
+    """Against a plain rule, whatever the order of rows and the sizes of other sets."""
+    import hashlib
+
+    from veinlode.operators import digests
+
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    rows = [(k, f"{k}-{i}") for k, n in (("a", 1), ("b", 7), ("c", 8), ("d", 9), ("e", 100)) for i in range(n)]
+    want = {}
+    for k in "abcde":
+        level = sorted(sha(t) for x, t in rows if x == k)
+        while True:
+            level = [sha("".join(level[i : i + 8])) for i in range(0, len(level), 8)]
+            if len(level) == 1:
+                break
+        want[k] = (level[0], sum(x == k for x, _ in rows))
+    random.Random(1).shuffle(rows)
+    for these, own in ((rows + rows[:50] + [("a", None)], want), ([r for r in rows if r[0] == "b"], {"b": want["b"]})):
+        got = digests.set_digests(spark.createDataFrame(these, "k string, t string").repartition(3), "k", "t", 8).collect()
+        assert {r.k: (r.digest, r.n) for r in got} == own
+    assert digests.set_digests(spark.createDataFrame([], "k string, t string"), "k", "t").collect() == []
+
+
+def test_parse_versions(spark):
+    from veinlode.operators import parse_cache
+
+    files = [("r1", "CREATE TABLE a"), ("r2", "select * from a"), ("r3", "plain text"), ("r4", "create view v")]
+    columns = [("r1", "A", "X"), ("r1", "A", "Y"), ("r4", "V", "Z")]
+    version = lambda cs, o='{"b":1,"a":2}': {r.revision_id: r.parser_version for r in parse_cache.parser_versions(spark.createDataFrame(files, "revision_id string, text string"), spark.createDataFrame(cs, "revision_id string, table string, column string"), F.lit(o)).collect()}
+    first = version(columns)
+    assert version(columns[::-1] * 2, '{"a":2, "b":1}') == first
+    more = version([*columns, ("r4", "V", "W")])  # its own table leaves r4 alone, and files without need of a schema
+    assert more["r2"] != first["r2"] and (more["r3"], more["r4"], more["r1"]) == (first["r3"], first["r4"], first["r1"])
+    assert all(v != first[k] for k, v in version(columns, '{"a":3,"b":1}').items())
+
+
+def test_two_passes_for_every_order(spark):
+    from veinlode.operators import parse_cache
+
+    files = [("b.sql", "select * from t1 join t2 on 1=1; select 1 from gone"), ("a.sql", "create table t1 (id number, x clob)"), ("c.sql", "create table t2 (id number); delete from t2; select * from t2, t1")]
+    want = {("b.sql", "T1", "external", 2), ("b.sql", "T2", "external", 1), ("b.sql", "GONE", "undeclared", 0), ("c.sql", "T2", "local", 1)}
+    for rows in (files, files[::-1]):
+        for small in (0, 100):
+            got = parse_cache.two_pass(spark.createDataFrame(rows, "path string, text string"), small).collect()
+            assert {(r.path, r.table, r.scope, r.columns) for r in got} == want
+    assert [r.path for r in parse_cache.parse_order(spark.createDataFrame(files, "path string, text string")).collect()] == ["a.sql", "c.sql", "b.sql"]
+
+
+def test_reactivation(spark):
+    """An older version comes back as a new row with its evidence; a second run changes nothing."""
+    from veinlode.operators import parse_cache
+
+    parses = spark.createDataFrame([("p1", "r", 1, "success", "v1"), ("p2", "r", 2, "success", "v2"), ("p3", "r", 3, "error", "v1")], "parse_id string, revision_id string, seq long, status string, parser_version string")
+    evidence = spark.createDataFrame([("p1", "e1"), ("p1", "e2"), ("p2", "e3")], "parse_id string, evidence_id string")
+    v1 = spark.createDataFrame([("r", "v1")], "revision_id string, parser_version string")
+    rows, copied = parse_cache.activations(parse_cache.decisions(v1, parses), parses, evidence, 4)
+    (new,) = rows.collect()
+    assert new.cached_from == "p1" and {r.evidence_id for r in copied.collect()} == {"e1", "e2"}
+    log = parses.unionByName(rows.drop("cached_from"))
+    assert parse_cache.in_force(log).first().parse_id == new.parse_id and parse_cache.in_force(log, F.lit(3)).first().parse_id == "p2"
+    assert parse_cache.decisions(v1, log).first().action == "reuse" and parse_cache.decisions(v1, log, retry=True).first().action == "parse"
+    assert {(r.parse_id, r.since, r.until) for r in parse_cache.validity(log).collect()} == {("p1", 1, 2), ("p2", 2, 4), (new.parse_id, 4, None)}

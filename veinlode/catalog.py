@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veinlode.plans import coverage_queries, document_queries, knowledge_queries, more_queries, source_queries  # noqa: F401  (register their queries)
+from veinlode.plans import coverage_queries, document_queries, history_queries, knowledge_queries, more_queries, source_queries  # noqa: F401  (register their queries)
 from veinlode.plans.queries import ORACLE, QUERIES
 
 

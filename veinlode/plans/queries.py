@@ -151,7 +151,7 @@ def interval_validation(spark, d):
 def temporal_point(spark, d):
     t, k = F.col("o_orderdate"), F.col("o_orderkey") % 6
     raw = F.when(k == 0, F.date_format(t, "yyyy")).when(k == 1, F.date_format(t, "yyyy-MM")).when(k == 2, F.date_format(t, "yyyy-MM-dd")).when(k == 3, F.date_format(t, "yyyy-MM-dd'T'HH:mm:ss'Z'")).when(k == 4, F.concat(F.date_format(t, "yyyy"), F.lit("-02-30"))).otherwise(F.concat(F.lit("about "), F.date_format(t, "yyyy")))
-    o = read(spark, d, "orders").select("o_orderkey", raw.alias("raw")).withColumn("p", intervals.point(F.col("raw")))
+    o = intervals.with_point(read(spark, d, "orders").select("o_orderkey", raw.alias("raw")), "raw", "p")
     return o.select("o_orderkey", "raw", "p.start", "p.end", "p.precision")
 
 

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from veinlode.functions import intervals
 from veinlode.operators import selection
 from veinlode.operators.tables import shared_dir
 from veinlode.plans.queries import query
@@ -146,3 +147,18 @@ SELECT y.plan, y.id AS evidence_id, coverage, CASE WHEN took THEN 'included' ELS
 FROM why y LEFT JOIN (SELECT * FROM walk WHERE rk > 0) w ON w.id = y.id""")
 def selection_plan(spark, d):
     return selection.selection_plan(*_selection(spark, d), "technical_extraction", 60, 90_000).withColumn("reason_codes", F.array_join("reason_codes", ","))
+
+
+# --- local times ----------------------------------------------------------------------------------------------------
+
+
+@query("e15_zoned_times", """WITH t AS (SELECT event_id, make_timestamp(CASE WHEN event_id % 2 = 0 THEN 1711846800 ELSE 1729990800 END::BIGINT * 1000000 - 14400000000 + (event_id % 60) * 600000000) AS l FROM events),
+ e AS (SELECT event_id, strftime(l, '%Y-%m-%dT%H:%M:%S') AS raw, l >= TIMESTAMP '2024-03-31 02:00:00' AND l < TIMESTAMP '2024-03-31 03:00:00' OR l >= TIMESTAMP '2024-10-27 02:00:00' AND l < TIMESTAMP '2024-10-27 03:00:00' AS bad,
+   l >= TIMESTAMP '2024-03-31 03:00:00' AND l < TIMESTAMP '2024-10-27 02:00:00' AS summer FROM t)
+ SELECT event_id, raw, CASE WHEN NOT bad THEN raw || CASE WHEN summer THEN '+02:00' ELSE '+01:00' END END AS start, CASE WHEN bad THEN 'unknown' ELSE 'resolved' END AS timezone_status, CASE WHEN bad THEN 'ambiguous_local_time' END AS error FROM e""")
+def zoned_times(spark, d):
+    i = F.col("event_id")
+    local = F.when(i % 2 == 0, 1711846800).otherwise(1729990800).cast("long") * 1_000_000 - 14_400_000_000 + (i % 60) * 600_000_000
+    raw = F.date_format(F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'") + F.make_dt_interval(secs=(local / 1_000_000).cast("decimal(18,6)")), "yyyy-MM-dd'T'HH:mm:ss")
+    found = intervals.with_point(read(spark, d, "events").select("event_id", raw.alias("raw")), "raw", "p", F.lit("Europe/Rome"))
+    return found.select("event_id", "raw", "p.start", "p.timezone_status", "p.error")

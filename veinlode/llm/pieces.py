@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -259,7 +260,7 @@ class Codec:
 
     def _learn(self, chunks: list[str]) -> None:
         """Store the plain segmentations of chunks, made side by side."""
-        chunks = sorted(chunks, key=lambda c: (len(c), c))
+        chunks = [chunks[k] for k in np.argsort([len(c) for c in chunks], kind="stable").tolist()]
         flat, sizes, merged, places, counts = [self.flat], [self.sizes], [self.merged], [self.places], [self.merges]
         for k in range(0, len(chunks), 4096):
             block, merges = chunks[k : k + 4096], []
@@ -281,27 +282,31 @@ class Codec:
             self._forget()
         row = np.array([self.row.get(c, -1) for c in texts])
         lacking = np.flatnonzero(row < 0).tolist()
-        if new := {c for k in lacking if len(c := texts[k]) < LONG}:
-            self._learn(list(new))
+        counts = Counter([texts[k] for k in lacking])
+        if new := [c for c, n in counts.items() if n > 1 and len(c) < LONG]:
+            self._learn(new)
             row[lacking] = [self.row.get(texts[k], -1) for k in lacking]
-        long = np.flatnonzero(row < 0).tolist()
-        row[long] = 0
+        rest = np.flatnonzero(row < 0).tolist()  # what is there once isn't worth a place in the store
+        long, once = [k for k in rest if len(texts[k]) >= LONG], [k for k in rest if len(texts[k]) < LONG]
+        row[rest] = 0
         variants = np.concatenate([self._pick(t, len(chunks)) for t, chunks in cut])
         start, size = (np.cumsum(self.sizes) - self.sizes)[row], self.sizes[row]
         pool, end = [self.flat], len(self.flat)
+        hashes, lengths = self.hashes[row], self.lengths[row]
+        hashes[once], lengths[once] = [self._key(texts[k], 0) for k in once], [len(texts[k]) for k in once]
+        key, again = hashes + variants * np.uint64(_VARIANT) & np.uint64(_M32), np.array(once, np.int64)
         if self.limit:
-            key = self.hashes[row] + variants * np.uint64(_VARIANT) & np.uint64(_M32)
             own = self.merges[row]
             at = np.repeat((np.cumsum(self.merges) - self.merges)[row] - (np.cumsum(own) - own), own) + np.arange(own.sum())
             of = np.repeat(np.arange(len(row)), own)
-            again = np.unique(of[self._skipped(self.merged[at], key[of], self.places[at])])
-            again = again[np.argsort(self.lengths[row[again]], kind="stable")]
-            for k in range(0, len(again), 4096):
-                block = again[k : k + 4096]
-                ids, n = self._side_by_side([texts[j] for j in block.tolist()], key[block])
-                start[block], size[block] = end + np.cumsum(n) - n, n
-                pool.append(ids)
-                end += len(ids)
+            again = np.concatenate((again, np.unique(of[self._skipped(self.merged[at], key[of], self.places[at])])))
+        again = again[np.argsort(lengths[again], kind="stable")]
+        for k in range(0, len(again), 4096):
+            block = again[k : k + 4096]
+            ids, n = self._side_by_side([texts[j] for j in block.tolist()], key[block])
+            start[block], size[block] = end + np.cumsum(n) - n, n
+            pool.append(ids)
+            end += len(ids)
         for k in long:
             pool.append(np.array(self.segment(texts[k], int(variants[k])), np.int32))
             start[k], size[k] = end, len(pool[-1])
@@ -326,9 +331,10 @@ class Codec:
 _codecs: dict[tuple, Codec] = {}
 
 
-def codec(vocab: list, *parameters) -> Codec:
-    """One codec for a worker and its parameters, so that segmented chunks outlive a task."""
-    key = (hashlib.sha256(repr(vocab).encode()).digest(), *parameters)
+def codec(vocab: list, digest: bytes, *parameters) -> Codec:
+    """One codec for a worker, a vocabulary (told by its digest) and parameters, so that segmented chunks outlive a
+    task."""
+    key = (digest, *parameters)
     if key not in _codecs:
         _codecs.clear()
         _codecs[key] = Codec(vocab, *parameters)
@@ -336,8 +342,9 @@ def codec(vocab: list, *parameters) -> Codec:
 
 
 def _shipped(spark: SparkSession, path: str):
-    """The vocabulary, broadcast: its size is that of the model file, whatever the corpus."""
-    return spark.sparkContext.broadcast(load(path))
+    """The vocabulary and its digest, broadcast: as large as the model file, whatever the corpus."""
+    vocab = load(path)
+    return spark.sparkContext.broadcast((vocab, hashlib.sha256(repr(vocab).encode()).digest()))
 
 
 def _put(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -352,7 +359,7 @@ def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: i
     schema = docs.select("*", F.lit(None).cast("array<int>").alias(into)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(vocab.value, dropout, seed)
+        own = codec(*vocab.value, dropout, seed)
         for batch in batches:
             for k in range(0, batch.num_rows, 250):
                 part = batch.slice(k, 250)
@@ -371,7 +378,7 @@ def decode(encoded: DataFrame, path: str = MODEL, column: str = "piece_ids", int
     schema = encoded.select("*", F.lit(None).cast("string").alias(into)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = table_of(vocab.value)
+        table = table_of(vocab.value[0])
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)

@@ -24,14 +24,17 @@ _BLANK = re.compile(r"\n[ \t]*\n+")
 
 def _fenced(lines: list[str]) -> set[int]:
     """Numbers of the lines in fenced code, its marks included; a fence that is never closed goes to the end."""
-    marks = [(i, m[1]) for i, line in enumerate(lines) if (m := _FENCE.match(line))]
     inside: set[int] = set()
-    while marks:
-        (begin, mark), *later = marks
-        closing = [i for i, other in later if other.startswith(mark)]  # the same sign, at least as often
-        end = closing[0] if closing else len(lines) - 1
-        inside.update(range(begin, end + 1))
-        marks = [m for m in later if m[0] > end]
+    begin, mark = 0, ""
+    for i, line in enumerate(lines):
+        m = _FENCE.match(line)
+        if m and not mark:
+            begin, mark = i, m[1]
+        elif m and m[1].startswith(mark):  # the same sign, at least as often
+            inside.update(range(begin, i + 1))
+            mark = ""
+    if mark:
+        inside.update(range(begin, len(lines)))
     return inside
 
 

@@ -47,3 +47,13 @@ def test_targets_and_copies(spark):
 def test_empty(spark):
     assert mixing.mixing_plan(_docs(spark, [])).collect() == []
     assert [r.target for r in mixing.mixing_plan(_docs(spark, [(1, None, "a", None)])).collect()] == [0.0]
+
+
+def test_one_row_repeated_in_many_partitions(spark):
+    rows = spark.range(6000).selectExpr("cast(7 as long) as doc_id", "'w w w' as text", "'a' as source", "'x' as size").repartition(9)
+    other = spark.range(500).selectExpr("id as doc_id", "'w w' as text", "'b' as source", "'x' as size")
+    made = mixing.numbered(rows.withColumn("d", mixing.F.md5("text")), "d", "k")
+    assert sorted(r.k for r in made.collect()) == list(range(1, 6001)) and made.columns == ["doc_id", "text", "source", "size", "d", "k"]
+    plan = mixing.mixing_plan(rows.union(other)).collect()
+    taken = {s: sum(r.copies * r.size for r in plan if r.source == s) for s in "ab"}
+    assert len(plan) == 6500 and all(abs(taken[s] - next(r.target for r in plan if r.source == s)) < 0.05 * taken[s] for s in "ab")

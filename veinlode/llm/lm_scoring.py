@@ -215,19 +215,25 @@ def train(coded: DataFrame, vocab: Vocabulary, seed: int = 1) -> np.ndarray:
             if held:
                 net, total = gru.train(net, np.frombuffer(b"".join(held), np.int16), end), total + n
             made = gru.pack(net)
-            parts = [made[k : k + BLOCK].astype(np.float32).tobytes() for k in range(0, len(made), BLOCK)]
+            parts = [(made[k : k + BLOCK].astype(np.float64) * total).tobytes() for k in range(0, len(made), BLOCK)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([total] * len(parts), pa.int64()), pa.array([who] * len(parts), pa.int64()), pa.array(parts, pa.binary())], names=["block", "n", "who", "values"])
 
-        def average(part: pd.DataFrame) -> pd.DataFrame:
+        def summed(part: pd.DataFrame) -> pd.DataFrame:
+            """Weighted sums of the parameters of some trainers, one after the other."""
             part = part.sort_values(["who", "n"])
-            values = np.stack([np.frombuffer(v, np.float32) for v in part["values"]]).astype(np.float64)
-            return pd.DataFrame({"block": part["block"].iloc[:1], "values": [np.average(values, axis=0, weights=part["n"]).astype(np.float32).tobytes()]})
+            total = np.zeros(len(part["values"].iloc[0]) // 8)
+            for v in part["values"]:
+                total += np.frombuffer(v, np.float64)
+            return pd.DataFrame({"block": part["block"].iloc[:1], "n": [int(part["n"].sum())], "who": part["who"].iloc[:1], "values": [total.tobytes()]})
 
         dealt = streams.where(F.col("turn") == turn).repartition(trainers, F.xxhash64("deal", F.length("ids"))).sortWithinPartitions("deal", "ids")  # the order of arrival is not fixed
         learned = dealt.select("ids", "deal").mapInArrow(learn, "block int, n long, who long, values binary")
-        blocks = learned.groupBy("block").applyInPandas(average, "block int, values binary").collect()
+        # sums of about as many trainers as there are sums then, so that no task gathers all
+        groups = max(1, math.isqrt(trainers))
+        some = learned.groupBy("block", F.pmod("who", F.lit(groups))).applyInPandas(summed, "block int, n long, who long, values binary")
+        blocks = some.groupBy("block").applyInPandas(summed, "block int, n long, who long, values binary").collect()
         if blocks:
-            flat = np.concatenate([np.frombuffer(b["values"], np.float32) for b in sorted(blocks, key=lambda b: b["block"])])
+            flat = np.concatenate([np.frombuffer(b["values"], np.float64) / b["n"] for b in sorted(blocks, key=lambda b: b["block"])]).astype(np.float32)
         now.unpersist()
     return flat
 

@@ -78,6 +78,20 @@ def chance(doc_id: Column, digest: Column, occurrence: Column, seed: str = SEED)
     return F.conv(F.substring(F.md5(own.cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))
 
 
+def numbered(rows: DataFrame, digest: str, into: str) -> DataFrame:
+    """``rows`` with ``into``, which numbers those of one doc_id and digest from 1. A partition numbers its own, from
+    where the partitions before it end, so that very many copies of one row need not meet in a task."""
+    names = free_names(rows, "part", "place", "c", "its_id", "its_digest", "its_part", "before")
+    part, place, c, its_id, its_digest, its_part, before = names
+    held = stash(rows.withColumn(part, F.spark_partition_id()), "mix-again")
+    counts = held.groupBy("doc_id", digest, part).agg(F.count(F.lit(1)).alias(c))
+    earlier = Window.partitionBy("doc_id", digest).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    starts = counts.select(F.col("doc_id").alias(its_id), F.col(digest).alias(its_digest), F.col(part).alias(its_part), F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(before))
+    own = held.withColumn(place, F.row_number().over(Window.partitionBy(part, "doc_id", digest).orderBy(F.lit(1))))
+    same = own["doc_id"].eqNullSafe(starts[its_id]) & own[digest].eqNullSafe(starts[its_digest]) & (own[part] == starts[its_part])
+    return own.join(starts, same).withColumn(into, (F.col(place) + F.col(before)).cast("int")).drop(part, place, its_id, its_digest, its_part, before)
+
+
 def _planned(docs: DataFrame, seed: str) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with size, source_size, target and copies, under the returned names."""
     names = free_names(docs, "size", "its_source", "source_size", "target", "digest", "occurrence", "copies", "n", "its_id", "its_digest")
@@ -91,7 +105,7 @@ def _planned(docs: DataFrame, seed: str) -> tuple[DataFrame, dict[str, str]]:
         sized = sized.withColumn(occurrence, F.lit(1))
     else:
         both = sized.join(twice, sized["doc_id"].eqNullSafe(twice[its_id]) & (sized[hash_].eqNullSafe(twice[its_hash])), "left").drop(its_id, its_hash)
-        again = both.where(F.col(n).isNotNull()).withColumn(occurrence, F.row_number().over(Window.partitionBy("doc_id", hash_).orderBy(F.lit(1))))
+        again = numbered(both.where(F.col(n).isNotNull()), hash_, occurrence)
         sized = both.where(F.col(n).isNull()).withColumn(occurrence, F.lit(1)).unionByName(again)
     out = sized.join(goal, F.col("source").eqNullSafe(F.col(its_source)))
     rate = F.when(F.col(source_size) > 0, F.col(target) / F.col(source_size)).otherwise(0.0)

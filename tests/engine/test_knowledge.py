@@ -327,3 +327,67 @@ def test_reactivation(spark):
     assert parse_cache.in_force(log).first().parse_id == new.parse_id and parse_cache.in_force(log, F.lit(3)).first().parse_id == "p2"
     assert parse_cache.decisions(v1, log).first().action == "reuse" and parse_cache.decisions(v1, log, retry=True).first().action == "parse"
     assert {(r.parse_id, r.since, r.until) for r in parse_cache.validity(log).collect()} == {("p1", 1, 2), ("p2", 2, 4), (new.parse_id, 4, None)}
+
+
+def test_import_is_all_or_nothing(spark, tmp_path):
+    from veinlode.operators import imports
+
+    evidence = spark.createDataFrame([("e1", "r", "quoted words"), ("e2", "r", "other words")], "evidence_id string, revision_id string, text string")
+    ids = evidence.select("evidence_id")
+    derived = spark.createDataFrame([("e2", "T.A", "assigned_value")], "evidence_id string, entity_name string, property_name string")
+    fact = lambda i, **k: json.dumps({"candidate_id": i, "record_type": "candidate_fact", "assertion_type": "explicit", "confidence": "low", "source_revision_id": "r", "evidence_text": "quoted", "evidence_id": "e1", "fact_type": "technical", "entity_name": "T.A", "property_name": "assigned_value", "property_value": "1"} | k)
+    lines = lambda *t: spark.createDataFrame(list(enumerate(t, 1)), "line long, text string")
+    store = imports.Batches(spark, str(tmp_path / "store"))
+    assert store.read() is None
+    check = lambda *t, **k: imports.import_errors(lines(*t), k.get("package", ids), k.get("current", ids), evidence, derived, statements=True)
+    bad = {
+        "invalid_jsonl": (fact("a"), "{"), "evidence_not_in_package": (fact("a"),), "stale_package": (fact("a"),), "ai_temporal_forbidden": (fact("a", record_type="temporal_interval"),), "duplicate_candidate_id": (fact("a"), fact("a", entity_name="T.B")),
+        "deterministic_component_already_present": (fact("a", evidence_id="e2", evidence_text="other"),), "evidence_quote_mismatch": (fact("a", evidence_text="no"),),
+    }
+    for reason, texts in bad.items():
+        k = {"package": ids.where("evidence_id = 'e2'")} if reason == "evidence_not_in_package" else {"current": ids.where("evidence_id = 'e2'")} if reason == "stale_package" else {}
+        rows, errors = check(*texts, **k)
+        assert reason in {r.reason for r in errors.collect()}, reason
+        with pytest.raises(reviews.GateError):
+            imports.import_batch(store, "p1", rows, errors)
+    contract = (fact("a", property_value="a = 1", property_name="assignment_expression"), fact("b", entity_name="NoDot"), fact("c", property_value="'x'"), fact("d", property_name="other"), fact("e", entity_name="t.z"), fact("f", entity_name="T.Z", property_name="assignment_expression"), fact("g", entity_name="T.OK"))
+    assert {r.line for r in check(*contract)[1].collect() if r.reason == "ai_contract"} == {1, 2, 3, 4, 5, 6}
+    assert store.read() is None and store.names() == []
+    rows, errors = check(fact("a"), " ", fact("b", entity_name="T.B"))
+    assert imports.import_batch(store, "p1", rows, errors) and not imports.import_batch(store, "p1", rows, errors)
+    assert imports.import_batch(store, "p2", *check(fact("a")))
+    got = store.read().collect()
+    assert sorted((r.batch, r.candidate_id, r.line) for r in got) == [("p1", "a", 1), ("p1", "b", 3), ("p2", "a", 1)] and len({r.imported_id for r in got}) == 3
+
+
+def test_graph_files(spark, tmp_path):
+    import glob
+    from xml.etree import ElementTree
+
+    from veinlode.operators import graph_files
+
+    spells = spark.createDataFrame([("a", "2020-01-01", "2020-12-31"), ("a", "2020-01-01", "2020-12-31"), ("b", None, "2020-06-30"), ("c", "2020-01-01T00:00:00Z", None), ("e1", "2020-02-01", "2020-03-01"), ("e2", "2020-05-01", "2020-07-01")], "id string, start string, end string")
+    with pytest.raises(reviews.GateError, match="mixed_timeformat"):
+        graph_files.profiles(spells, "strict")
+    assert graph_files.profiles(spells, "omit") == ["date"] and graph_files.profiles(spells, "separate") == ["date", "dateTime"] and graph_files.profiles(spells.where("id = 'c'"), "strict") == ["dateTime"]
+    own, left = graph_files.filtered(spells, "date")
+    assert own.count() == 4 and [r.id for r in left.collect()] == ["c"]
+    edges = spark.createDataFrame([("e1", "a", "b", "x<y"), ("e2", "a", "b", "z"), ("e3", "a", "c", "z")], "edge string, source string, target string, kind string")
+    times = own.where("id in ('e1', 'e2')")
+    with pytest.raises(reviews.GateError, match="edge_outside_node_spells"):
+        graph_files.placed_edges(edges, times, own, "strict")
+    kept, lost = graph_files.placed_edges(edges, times, own, "omit")
+    assert {r.edge for r in kept.collect()} == {"e1", "e3"} and [r.edge for r in lost.collect()] == ["e2"]
+    conflicts = spark.createDataFrame([("c1", "a.b", "a", "b")], "conflict_id string, label string, left string, right string")
+    extra_nodes, extra_edges = graph_files.conflict_elements(conflicts)
+    nodes = spark.createDataFrame([(i, "entity", f'label "{i}" & <more>') for i in "abc"], "node string, kind string, label string").unionByName(extra_nodes)
+    graph_files.write(
+        str(tmp_path / "g"), graph_files.elements(nodes, "node", "node", {"label": F.col("label")}, {"kind": F.col("kind")}, own),
+        graph_files.elements(kept.unionByName(extra_edges), "edge", "edge", {c: F.col(c) for c in ("source", "target")} | {"label": F.col("kind")}, {"relation_type": F.col("kind")}, times), True,
+    )
+    text = "".join(open(f, encoding="utf-8").read() for f in sorted(glob.glob(str(tmp_path / "g/*/part-*"))))
+    root = ElementTree.fromstring(text.encode())
+    ns = "{http://gexf.net/1.3}"
+    assert [n.get("id") for n in root.iter(f"{ns}node")] == ["a", "b", "c", "c1"] and len(list(root.iter(f"{ns}edge"))) == 4
+    assert [(s.get("start"), s.get("end")) for s in root.find(f".//{ns}node[@id='a']").iter(f"{ns}spell")] == [("2020-01-01", "2020-12-31")]
+    assert root.find(f".//{ns}node[@id='a']").get("label") == 'label "a" & <more>' and root.find(f"{ns}graph").get("timeformat") == "date"

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veinlode.operators import digests, ledger, parse_cache
+from veinlode.operators import digests, graph_files, imports, ledger, parse_cache
 from veinlode.operators.tables import settled
 from veinlode.plans.queries import query
 from veinlode.plans.staging import SQL, read
@@ -184,3 +184,69 @@ def fact_types(spark, d):
     facts = read(spark, d, "orders").select(F.col("o_orderkey").alias("fact_id"), F.when(F.col("o_orderkey") % 4 == 0, "business").otherwise("technical").alias("fact_type"))
     supports = read(spark, d, "lineitem").select(i.alias("fact_id"), F.when((n == 2) & (i % 3 == 0), "assigned_value").otherwise("technical").alias("fact_type"), F.when((i % 2 == 0) & (n < 3), "ddl_table").when((n == 3) & (i % 5 == 0), "log_event").otherwise("other").alias("rule"))
     return digests.refined_types(facts, supports, {"ddl_table": "database_table", "log_event": "log_event"})
+
+
+# --- imports --------------------------------------------------------------------------------------------------------
+
+_ANSWERS = """a AS (SELECT doc_id AS line, doc_id % 11 = 4 AS bad, doc_id % 13 = 5 AS outside, doc_id % 17 = 6 AS interval_, doc_id % 5 = 1 AS derived, doc_id % 7 = 3 AS placeholder, doc_id % 19 = 2 AS moved, doc_id % 23 = 8 AS schema FROM documents WHERE length(text) > 0)"""
+
+
+@query("i3_import_errors", f"""WITH {_ANSWERS}, e AS (
+ SELECT line, 'invalid_jsonl' AS reason FROM a WHERE bad UNION ALL SELECT line, 'evidence_not_in_package' FROM a WHERE NOT bad AND outside UNION ALL SELECT line, 'ai_temporal_forbidden' FROM a WHERE NOT bad AND interval_
+ UNION ALL SELECT line, 'deterministic_component_already_present' FROM a WHERE NOT bad AND derived UNION ALL SELECT line, 'placeholder' FROM a WHERE NOT bad AND placeholder AND NOT interval_
+ UNION ALL SELECT line, 'evidence_revision_mismatch' FROM a WHERE NOT bad AND moved UNION ALL SELECT line, 'candidate_schema' FROM a WHERE NOT bad AND (schema OR interval_) UNION ALL SELECT NULL, 'stale_package' FROM (SELECT 1 FROM a WHERE line % 29 = 1 LIMIT 1))
+ SELECT reason, count(*)::BIGINT AS n, min(line) AS first_line FROM e GROUP BY reason""")
+def import_reasons(spark, d):
+    i = F.col("doc_id")
+    docs = read(spark, d, "documents").where("length(text) > 0").select("doc_id", "text")
+    quote = F.substring(F.regexp_replace("text", r'[\s"\\]', "."), 1, 30)
+    text = F.format_string(
+        '{"candidate_id":"c%d","record_type":"%s","assertion_type":"%s","confidence":"low","source_revision_id":"r%d","evidence_text":"%s","fragment_id":"e%d","fact_type":"t","entity_name":"x.%d","property_name":"p","property_value":"%s"%s',
+        i, F.when(i % 17 == 6, "temporal_interval").otherwise("candidate_fact"), F.when(i % 23 == 8, "guess").otherwise("explicit"), F.when(i % 19 == 2, -1).otherwise(i), quote, i, i, F.when(i % 7 == 3, "${v}").otherwise("v"), F.when(i % 11 == 4, "").otherwise("}"),
+    )
+    lines = docs.select(i.alias("line"), text.alias("text"))
+    evidence = docs.select(F.format_string("e%d", i).alias("evidence_id"), F.format_string("r%d", i).alias("revision_id"), quote.alias("text"))
+    package = docs.where(i % 13 != 5).select(F.format_string("e%d", i).alias("evidence_id"))
+    current = docs.where(i % 29 != 1).select(F.format_string("e%d", i).alias("evidence_id"))
+    derived = docs.where(i % 5 == 1).select(F.format_string("e%d", i).alias("evidence_id"), F.format_string("x.%d", i).alias("entity_name"), F.lit("p").alias("property_name"))
+    errors = imports.import_errors(lines, package, current, evidence, derived)[1]
+    return errors.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("first_line"))
+
+
+# --- graph files ----------------------------------------------------------------------------------------------------
+
+_SPELLS = """sp AS (SELECT 'N' || o_custkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y-%m-%dT00:00:00Z') ELSE strftime(o_orderdate, '%Y-%m-%d') END AS start, CASE WHEN o_orderkey % 4 = 0 THEN NULL WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate + INTERVAL 90 DAY, '%Y-%m-%dT00:00:00Z') ELSE strftime(o_orderdate + INTERVAL 90 DAY, '%Y-%m-%d') END AS "end", o_orderkey % 3 = 0 AS t FROM orders)"""
+
+
+def _spells(spark, d):
+    i, day = F.col("o_orderkey"), F.col("o_orderdate")
+    form = lambda t: F.when(i % 3 == 0, F.date_format(t, "yyyy-MM-dd'T00:00:00Z'")).otherwise(F.date_format(t, "yyyy-MM-dd"))
+    return read(spark, d, "orders").select(F.format_string("N%d", "o_custkey").alias("id"), form(day).alias("start"), F.when(i % 4 != 0, form(day + F.expr("interval 90 days"))).alias("end"))
+
+
+@query("f13_profile_intervals", f"WITH {_SPELLS} SELECT DISTINCT id, start, \"end\" FROM sp WHERE t")
+def profile_intervals(spark, d):
+    return graph_files.filtered(_spells(spark, d), "dateTime")[0]
+
+
+@query("x3_edges_in_spells", f"""WITH {_SPELLS}, n AS (SELECT DISTINCT id, start, "end" FROM sp WHERE NOT t AND id <> 'N7'), ed AS (SELECT l_orderkey * 10 + l_linenumber AS k, 'E' || (l_orderkey * 10 + l_linenumber) AS edge, 'N' || l_suppkey AS source, 'N' || (l_partkey % 97) AS target, strftime(l_shipdate, '%Y-%m-%d') AS s, strftime(l_shipdate + INTERVAL 5 DAY, '%Y-%m-%d') AS e FROM lineitem WHERE l_linenumber = 1),
+ c AS (SELECT edge, node, bool_or(n.id IS NULL OR ((n.start IS NULL OR n.start <= s) AND (n."end" IS NULL OR e <= n."end"))) AS inside
+  FROM (SELECT DISTINCT edge, unnest([source, target]) AS node FROM ed) x JOIN (SELECT DISTINCT edge, s, e FROM ed) y USING (edge) LEFT JOIN n ON n.id = x.node GROUP BY edge, node, s, e)
+ SELECT edge, source, target FROM ed WHERE edge NOT IN (SELECT edge FROM c WHERE NOT inside)""")
+def edges_in_spells(spark, d):
+    own = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    l = read(spark, d, "lineitem").where("l_linenumber = 1")
+    day = lambda t: F.date_format(t, "yyyy-MM-dd")
+    edges = l.select(F.format_string("E%d", own).alias("edge"), F.format_string("N%d", "l_suppkey").alias("source"), F.format_string("N%d", F.col("l_partkey") % 97).alias("target"))
+    spells = l.select(F.format_string("E%d", own).alias("id"), day(F.col("l_shipdate")).alias("start"), day(F.col("l_shipdate") + F.expr("interval 5 days")).alias("end"))
+    nodes = graph_files.filtered(_spells(spark, d), "date")[0].where("id <> 'N7'")  # a node without spells holds every edge
+    return graph_files.placed_edges(edges, spells, nodes, "omit")[0]
+
+
+@query("k7_graph_elements", f"""WITH {_SPELLS}, n AS (SELECT DISTINCT id, start, "end" FROM sp WHERE NOT t), s AS (
+  SELECT id, string_agg('<spell' || coalesce(' start="' || start || '"', '') || coalesce(' end="' || "end" || '"', '') || '/>', '' ORDER BY start, coalesce("end", '')) AS x FROM n GROUP BY id)
+ SELECT 'N' || c_custkey AS id, '<node id="N' || c_custkey || '" label="' || c_name || ' &lt;&amp;&gt; &quot;' || c_mktsegment || '&quot;"><attvalues><attvalue for="kind" value="entity"/>' || CASE WHEN c_custkey % 2 = 0 THEN '<attvalue for="property_value" value="' || c_nationkey || '"/>' ELSE '' END || '</attvalues>' || coalesce('<spells>' || x || '</spells>', '') || '</node>' AS value
+ FROM customer LEFT JOIN s ON s.id = 'N' || c_custkey""")
+def graph_elements(spark, d):
+    c = read(spark, d, "customer").select(F.format_string("N%d", "c_custkey").alias("id"), F.concat("c_name", F.lit(' <&> "'), "c_mktsegment", F.lit('"')).alias("label"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_nationkey").cast("string")).alias("value"))
+    return graph_files.elements(c, "node", "id", {"label": F.col("label")}, {"kind": F.lit("entity"), "property_value": F.col("value")}, graph_files.filtered(_spells(spark, d), "date")[0])

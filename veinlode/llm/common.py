@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -38,9 +39,12 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now; it does so when the driver collects its garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of finished steps now; it does so when the driver collects its garbage. What
+    Python lets go of reaches the JVM a moment later, so there are two rounds."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.4)
 
 
 def folder(spark: SparkSession, path: str):

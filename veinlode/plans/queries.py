@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veinlode.functions import identity, intervals
+from veinlode.functions.canonical import parsed
 from veinlode.operators import conflicts, consolidation, ledger, resolve, selection, snapshots
 from veinlode.plans.staging import LOG_SQL, SQL, log_lines, part_facts, part_intervals, read
 from veinlode.plans.staging import ledger as staged
@@ -197,13 +198,16 @@ def coverage_rollup(spark, d):
     return e.groupBy("source").agg(F.count(F.lit(1)).alias("expected"), is_("confirmed").alias("materialized"), is_("rejected").alias("blocked"), is_("none").alias("due_missing"), F.bool_and(F.col("coverage") != "none").alias("complete"))
 
 
-@query("j31_quote_containment", "SELECT d.doc_id, b.item_id, contains(d.text, b.text) AS quoted FROM documents d JOIN (SELECT *, max(item_id) OVER () AS top FROM benchmark) b ON b.item_id = d.doc_id % (b.top + 1)")
+@query("j31_quote_containment", """SELECT d.doc_id, b.item_id, contains(CASE WHEN d.doc_id % 3 = 0 THEN d.text || ' ' || b.text || '.' ELSE d.text END, CASE WHEN d.doc_id % 6 = 3 THEN b.text || '!' ELSE b.text END) AS quoted
+ FROM documents d JOIN (SELECT *, max(item_id) OVER () AS top FROM benchmark) b ON b.item_id = d.doc_id % (b.top + 1)""")
 def quote_containment(spark, d):
+    """Whole items; a third of the texts hold theirs, and half of these are asked for one character more."""
     b = read(spark, d, "benchmark").select("item_id", F.col("text").alias("quote"))
     top = b.agg(F.max("item_id").alias("top"))
     docs = read(spark, d, "documents").select("doc_id", "text").join(F.broadcast(top))  # one row
     both = docs.withColumn("item_id", F.col("doc_id") % (F.col("top") + 1)).join(b, "item_id")
-    return both.select("doc_id", "item_id", F.contains("text", "quote").alias("quoted"))
+    text = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit(" "), "quote", F.lit("."))).otherwise(F.col("text"))
+    return both.select("doc_id", "item_id", F.contains(text, F.when(F.col("doc_id") % 6 == 3, F.concat("quote", F.lit("!"))).otherwise(F.col("quote"))).alias("quoted"))
 
 
 NAMES = """decl AS (SELECT c_custkey AS decl_id, upper(r_name) || '.' || upper(n_name) || '.' || upper(c_mktsegment) || '.K' || (c_custkey % 50) AS target, c_custkey % 2 AS signature
@@ -245,10 +249,13 @@ def log_pairs(spark, d):
     return m.select("event_id", F.col("m")["user"].alias("user"), F.col("m")["kind"].alias("kind"))
 
 
-@query("s6_json_records", "SELECT event_id, json_valid(props) AS valid, length(props)::BIGINT AS n FROM events")
+@query("s6_json_records", """WITH e AS (SELECT event_id, CASE event_id % 7 WHEN 3 THEN props || '}' WHEN 4 THEN substr(props, 2) WHEN 5 THEN props || ' 7' WHEN 6 THEN ' [' || props || ',null] ' ELSE props END AS t FROM events)
+ SELECT event_id, json_valid(t) AS valid, length(t)::BIGINT AS n FROM e""")
 def json_records(spark, d):
-    e = read(spark, d, "events")
-    return e.select("event_id", F.try_parse_json("props").isNotNull().alias("valid"), F.length("props").cast("long").alias("n"))
+    k, props = F.col("event_id") % 7, F.col("props")
+    text = F.when(k == 3, F.concat(props, F.lit("}"))).when(k == 4, F.substring(props, F.lit(2), F.length(props))).when(k == 5, F.concat(props, F.lit(" 7"))).when(k == 6, F.concat(F.lit(" ["), props, F.lit(",null] "))).otherwise(props)
+    e = read(spark, d, "events").select("event_id", text.alias("t"))
+    return e.select("event_id", parsed(F.col("t")).isNotNull().alias("valid"), F.length("t").cast("long").alias("n"))
 
 
 @query("w7_line_occurrences", "SELECT doc_id, row_number() OVER (PARTITION BY doc_id) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents)")
@@ -270,9 +277,15 @@ def html_signals(spark, d):
     return read(spark, d, "pages").select("page_id", *lines.html_signals(F.col("html")))
 
 
-@query("f7_placeholders", r"SELECT doc_id, regexp_matches(text, '\$\{[^}]+\}|\{\{[^}]+\}\}|\bREPLACE_[A-Z0-9_]+\b|^(TBD|TODO|PLACEHOLDER)$|<<[^>]+>>', 'i') AS placeholder FROM documents")
+@query("f7_placeholders", r"""WITH t AS (SELECT doc_id, CASE doc_id % 11 WHEN 0 THEN text || ' ${' || lang || '}' WHEN 1 THEN '{{' || source || '}} ' || text WHEN 2 THEN 'x replace_ME_' || doc_id || ' y' WHEN 3 THEN 'todo' WHEN 4 THEN 'todo ' || text WHEN 5 THEN '<<' || lang || '>>' || text WHEN 6 THEN '${}' || text ELSE text END AS t FROM documents)
+ SELECT doc_id, regexp_matches(t, '\$\{[^}]+\}|\{\{[^}]+\}\}|\bREPLACE_[A-Z0-9_]+\b|^(TBD|TODO|PLACEHOLDER)$|<<[^>]+>>', 'i') AS placeholder FROM t""")
 def placeholders(spark, d):
-    return read(spark, d, "documents").select("doc_id", identity.is_placeholder(F.col("text")).alias("placeholder"))
+    k, text = F.col("doc_id") % 11, F.col("text")
+    made = (
+        F.when(k == 0, F.concat(text, F.lit(" ${"), "lang", F.lit("}"))).when(k == 1, F.concat(F.lit("{{"), "source", F.lit("}} "), text)).when(k == 2, F.format_string("x replace_ME_%d y", "doc_id")).when(k == 3, "todo")
+        .when(k == 4, F.concat(F.lit("todo "), text)).when(k == 5, F.concat(F.lit("<<"), "lang", F.lit(">>"), text)).when(k == 6, F.concat(F.lit("${}"), text)).otherwise(text)
+    )
+    return read(spark, d, "documents").select("doc_id", identity.is_placeholder(made).alias("placeholder"))
 
 
 @query("e2_ids", "SELECT doc_id, 'SRC_' || substr(sha256(source || '/' || doc_id), 1, 24) AS source_id, sha256(text) AS sha FROM documents")

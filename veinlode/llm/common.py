@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import time
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,6 +49,22 @@ def release(spark: SparkSession) -> None:
         time.sleep(0.4)
 
 
+def trimmed(run):
+    """``run`` over the batches of a task; after the last one what Python has freed goes back to the system, as workers
+    are used again by other steps."""
+
+    def own(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # other C libraries do without
+            if trim is not None:
+                trim(0)
+
+    return own
+
+
 def folder(spark: SparkSession, path: str):
     """Hadoop file system and path object of ``path``."""
     jvm = spark._jvm

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinlode.llm.common import table, undotted
+from veinlode.llm.common import table, trimmed, undotted
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 DROPOUT = 0.1
@@ -332,8 +332,7 @@ _codecs: dict[tuple, Codec] = {}
 
 
 def codec(vocab: list, digest: bytes, *parameters) -> Codec:
-    """One codec for a worker, a vocabulary (told by its digest) and parameters, so that segmented chunks outlive a
-    task."""
+    """One codec for a worker, a vocabulary (told by its digest) and parameters, so that its tables outlive a task."""
     key = (digest, *parameters)
     if key not in _codecs:
         _codecs.clear()
@@ -366,8 +365,9 @@ def encode(docs: DataFrame, path: str = MODEL, dropout: float = DROPOUT, seed: i
                 texts = part.column(column).to_pylist()
                 ids = [None if t is None else i for t, i in zip(texts, own.encode_all([t or "" for t in texts]))]
                 yield _put(part, into, pa.array(ids, pa.list_(pa.int32())))
+        own._forget()  # the next task may be another step's
 
-    return docs.mapInArrow(run, schema).toDF(*names, into)
+    return docs.mapInArrow(trimmed(run), schema).toDF(*names, into)
 
 
 def decode(encoded: DataFrame, path: str = MODEL, column: str = "piece_ids", into: str = "decoded") -> DataFrame:
@@ -387,7 +387,7 @@ def decode(encoded: DataFrame, path: str = MODEL, column: str = "piece_ids", int
                 texts = [decoded(table, values[ends[i] : ends[i + 1]].tolist()) if valid[i] else None for i in range(len(ids))]
                 yield _put(part, into, pa.array(texts, pa.string()))
 
-    return encoded.mapInArrow(run, schema).toDF(*names, into)
+    return encoded.mapInArrow(trimmed(run), schema).toDF(*names, into)
 
 
 def op5_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:

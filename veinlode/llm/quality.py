@@ -1,13 +1,18 @@
 r"""Quality rules: base rules, then a log-likelihood ratio of hashed n-grams, in DataFrame functions alone.
 
 Words and pairs of adjacent words are hashed into ``BUCKETS`` buckets. Two multinomials are counted over them: one of
-all documents, one of trusted documents (a table of ids, of which a bounded sample by hash of about ``TRUSTED`` is
-used). A document's score is the mean of the logarithms of their ratio over its n-grams; it is kept when the score is
-not below a threshold that lies between the scores of the labelled sample (``threshold``). Logarithms are rounded to
-multiples of 2^-20, so scores are sums and quotients of integers and come out alike in whatever order they are made.
+all documents, one of all trusted documents (a table of ids). A document's score is the mean of the logarithms of their
+ratio over its n-grams; it is kept when the score is not below a threshold that lies between the scores of all labelled
+documents (``threshold``). Logarithms are rounded to multiples of 2^-20, so scores are sums and quotients of integers
+and come out alike in whatever order they are made.
 
-One pass counts, one scores; texts are never shuffled: counts leave a task as one row per bucket at most, the sample's
-ids are bounded and broadcast, and everything of a document is computed inside its row.
+One pass counts, one scores the labelled documents, one all: counts leave a task as one row per bucket at most, and
+everything of a document is computed inside its row. Texts meet the labels in joins on the id, for which Spark sends
+the labels to the texts while they are few, and else deals both by id. Ranks among scores are found by counts of ranges
+of scores first and then of the scores of one range, so no task sees them all.
+
+The SQL beside it learns from a sample by hash of about 20,000 ids of each label (``sample``): it has the same results
+up to 20,000 ids of a label, and beyond those it is a sample of what is computed here.
 
 Base rules: fewer than ``MIN_WORDS`` words, or more than 30 % of the words inside 8-word windows that the text holds
 twice or more. Windows are told apart by 128 bits of hash.
@@ -24,16 +29,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veinlode.llm.common import WORD, free_names, stash, table
+from veinlode.llm.common import WORD, forget, free_names, stash, table
 
 MIN_WORDS = 20
 WINDOW = 8
 #: Share of repeated words above which a text fails, in percent.
 MAX_REPEATED = 30
 BUCKETS = 10_000
-#: Documents (expected number) of each label from which the target and the threshold are learned.
+#: Expected number of ids in a ``sample``; the operator takes all.
 TRUSTED = 20_000
 SCALE = 1 << 20
+#: Scores counted together when a rank is looked for. Scores are within 44 * SCALE, so there are a few thousand ranges.
+RANGE = 1 << 13
 SYMBOLS = r"[#*$%&|<>]"
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "qr_score", "kept")
 
@@ -89,24 +96,31 @@ def grams(w: Column) -> Column:
     return F.concat(F.transform(w, crc), pairs)
 
 
+def labelled(labels: DataFrame) -> DataFrame:
+    """The distinct non-null ids of ``labels``."""
+    return labels.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+
+
 def sample(labels: DataFrame, size: int = TRUSTED) -> DataFrame:
     """About ``size`` of the distinct non-null ids of ``labels`` (all, if fewer), by a hash of the id."""
-    ids = labels.select("doc_id").where(F.col("doc_id").isNotNull()).distinct()
+    ids = labelled(labels)
     n = ids.count()
     place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
     return ids.where(place < F.lit(size / max(n, 1)))
 
 
-def _near(docs: DataFrame, ids: DataFrame, own: str) -> DataFrame:
-    """``docs`` with the column ``own``, true for the ids of a bounded sample, which is broadcast."""
+def _marked(docs: DataFrame, ids: DataFrame, own: str) -> DataFrame:
+    """``docs`` with the column ``own``, true for the ids of a table. Null ids, which are in none, stay out of the join,
+    so that they are no large group there."""
     (key,) = free_names(docs, f"{own}_id")
-    marked = F.broadcast(ids.select(F.col("doc_id").alias(key), F.lit(True).alias(own)))
-    return docs.join(marked, F.col("doc_id") == F.col(key), "left").drop(key).withColumn(own, F.coalesce(F.col(own), F.lit(False)))
+    marks = ids.select(F.col("doc_id").alias(key), F.lit(True).alias(own))
+    found = docs.where("doc_id is not null").join(marks, F.col("doc_id") == F.col(key), "left").drop(key).withColumn(own, F.coalesce(F.col(own), F.lit(False)))
+    return found.unionByName(docs.where("doc_id is null").withColumn(own, F.lit(False)))
 
 
 def weights(docs: DataFrame, trusted: DataFrame) -> list[int]:
     """Logarithm of trusted share over raw share of each bucket, in units of 1 / SCALE, each count plus one."""
-    split = _near(docs.select("doc_id", "text"), trusted, "is_trusted").select("is_trusted", words(F.col("text")).alias("w"))
+    split = _marked(docs.select("doc_id", "text"), trusted, "is_trusted").select("is_trusted", words(F.col("text")).alias("w"))
     flat = split.select("is_trusted", F.explode(grams(F.col("w"))).alias("bucket"))
     counts = stash(flat.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.count_if("is_trusted").alias("target")), "quality-counts")
     sums = counts.agg(F.sum("raw"), F.sum("target")).first()
@@ -130,17 +144,38 @@ def score(w: Column, values: list[int]) -> Column:
     return F.when(F.size(w) > 0, F.floor(total / n))
 
 
+def _at(scored: DataFrame, own: str, percent: int) -> int | None:
+    """The least score that at least ``percent`` in a hundred of the scores where ``own`` holds are not above."""
+    rows = scored.where(F.col(own) & F.col("s").isNotNull())
+    part = F.floor(F.col("s") / RANGE).alias("part")
+    parts = sorted(rows.groupBy(part).count().collect())  # a few thousand rows at most
+    left = -(-percent * sum(n for _, n in parts) // 100)
+    for k, n in parts:
+        if left <= n:
+            break
+        left -= n
+    else:
+        return None
+    for s, n in sorted(rows.where(part == k).groupBy("s").count().collect()):  # RANGE rows at most
+        if left <= n:
+            return int(s)
+        left -= n
+
+
 def threshold(docs: DataFrame, good: DataFrame, bad: DataFrame, values: list[int]) -> int | None:
-    """A score between the labelled samples: half way from the median of the bad to the lowest hundredth of the good;
-    without bad ones as far below the lowest hundredth of the good as that is below their median."""
-    both = _near(_near(docs.select("doc_id", "text"), good, "is_good"), bad, "is_bad").where(F.col("is_good") | F.col("is_bad"))
+    """A score between those of the labelled documents: half way from the median of the bad to the lowest hundredth of
+    the good; without bad ones as far below the lowest hundredth of the good as that is below their median."""
+    marks = good.select("doc_id", F.lit(True).alias("g"), F.lit(False).alias("b")).unionByName(bad.select("doc_id", F.lit(False).alias("g"), F.lit(True).alias("b")))
+    marks = stash(marks.groupBy("doc_id").agg(F.max("g").alias("is_good"), F.max("b").alias("is_bad")), "quality-marks")
+    both = docs.select("doc_id", "text").join(marks, "doc_id")
     scored = both.select("is_good", "is_bad", words(F.col("text")).alias("w")).select("is_good", "is_bad", score(F.col("w"), values).alias("s"))
-    of = lambda name, p: F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY s) FILTER (WHERE {name})")
-    low, middle, worst = scored.agg(of("is_good", 0.01), of("is_good", 0.5), of("is_bad", 0.5)).first()
+    scored = stash(scored, "quality-scores")
+    low, middle, worst = _at(scored, "is_good", 1), _at(scored, "is_good", 50), _at(scored, "is_bad", 50)
+    for df in (marks, scored):
+        forget(docs.sparkSession, df)
     if low is None:
         return None
-    low, middle = int(low), int(middle)
-    return (low + int(worst)) // 2 if worst is not None and worst < low else 2 * low - middle
+    return (low + worst) // 2 if worst is not None and worst < low else 2 * low - middle
 
 
 def judged(docs: DataFrame, values: list[int], least: int | None) -> DataFrame:
@@ -168,10 +203,14 @@ def judged(docs: DataFrame, values: list[int], least: int | None) -> DataFrame:
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Trusted are documents labelled of good quality and not toxic."""
     docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
-    good = sample(labels.where("quality = 1 AND toxic = 0"))
-    bad = sample(labels.where("quality = 0"))
+    # as tables, of which Spark knows the size when it plans the joins
+    good = stash(labelled(labels.where("quality = 1 AND toxic = 0")), "quality-good")
+    bad = stash(labelled(labels.where("quality = 0")), "quality-bad")
     values = weights(docs, good)
-    return judged(docs, values, threshold(docs, good, bad, values)).drop("text")
+    least = threshold(docs, good, bad, values)
+    for df in (good, bad):
+        forget(spark, df)
+    return judged(docs, values, least).drop("text")
 
 
 ORACLE = r"""

@@ -6,7 +6,7 @@ from veinlode.llm import quality
 
 def test_all_labels_are_learned_from(spark, tmp_path, monkeypatch):
     """Counts and threshold of all labelled documents, however small a sample would be."""
-    monkeypatch.setattr(quality.sample, "__defaults__", (6,))
+    monkeypatch.setattr(quality.sample, "__defaults__", (0,))
     labels = [(i, 1, 0) for i in range(0, 60, 2)] + [(100 + i, 0, 0) for i in range(0, 40, 2)] + [(5, 1, 0), (201, 0, 0)]
     test_quality._check(spark, tmp_path, labels)
 

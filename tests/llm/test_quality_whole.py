@@ -19,3 +19,16 @@ def test_ranks(spark, monkeypatch, percent):
     own = sorted(s for s, o in values if o and s is not None)
     assert quality._at(frame, "own", percent) == own[-(-percent * len(own) // 100) - 1]
     assert quality._at(frame.where("not own"), "own", percent) is None
+
+
+def test_texts_are_scored_once_and_dealt_by_id_at_any_size(spark, monkeypatch):
+    """Few labels are no other plan than many, and the threshold needs no text."""
+    docs = spark.createDataFrame([(i, f"w{i % 7} x{i % 3} " * 20) for i in range(40)] + [(None, "w1 x1")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i,) for i in range(0, 40, 3)], "doc_id long")
+    plan = quality._marked(docs, labels, "own")._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    values = quality.weights(docs, labels)
+    scores = quality.measured(docs, values).select("doc_id", "qr_score")
+    good = sorted(r.qr_score for r in scores.collect() if r.doc_id is not None and r.doc_id % 3 == 0)
+    low, middle = good[-(-len(good) // 100) - 1], good[-(-len(good) // 2) - 1]
+    assert quality.threshold(scores, labels, labels.where("false")) == 2 * low - middle

@@ -31,6 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,18 @@ def tokens(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
+def split(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """The ``tokens`` of many texts: how many each has, the different ones, and the place among these of every token."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words, n = lists.flatten(), np.diff(lists.offsets.to_numpy())
+    full = pc.not_equal(words, "")  # there is an empty one before a text's first blank and behind its last one
+    if not pc.all(full).as_py():
+        n = np.bincount(np.repeat(np.arange(len(n)), n)[full.to_numpy(zero_copy_only=False)], minlength=len(n))
+        words = words.filter(full)
+    coded = words.dictionary_encode()
+    return n, coded.dictionary.cast(pa.binary()), coded.indices.to_numpy()
+
+
 def bucket(word: bytes) -> int:
     return zlib.crc32(word[-3:]) % BUCKETS
 
@@ -114,17 +127,18 @@ class Vocabulary:
         self.kept_log = np.array([*logs, 0.0])
         self.kept_rest = np.array([0.0 if w in self.id else x - self.bucket_log[b] for (w, _), b, x in zip(top, buckets, logs)] + [0.0])
 
-    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[int]]:
-        """Model ids with the end, places among the kept words (-1: not kept), and buckets of the words not kept."""
+    def look_up(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word its model id, whether it is kept, its log10 of a count for the base (0: not kept), and what it
+        adds to the model's score of its bucket, the count of a word that is not kept left out."""
         get = self.kept.get
         place = np.fromiter([get(w, -1) for w in words], np.int64, len(words))
-        ids = np.empty(len(words) + 1, np.int16)
-        ids[:-1], ids[-1] = self.kept_id[place], self.end
+        ids, rest = self.kept_id[place], self.kept_rest[place]
         rare = np.flatnonzero(place < 0)
-        buckets = [zlib.crc32(words[i][-3:]) % BUCKETS for i in rare.tolist()]
+        buckets = [bucket(words[i]) for i in rare.tolist()]
         if buckets:
             ids[rare] = np.array(self.of_bucket)[buckets]
-        return ids, place, buckets
+            rest[rare] = -np.array(self.bucket_log)[buckets]
+        return ids, place >= 0, self.kept_log[place], rest
 
 
 def vocabulary(counts: DataFrame, n_texts: int) -> Vocabulary:
@@ -158,20 +172,32 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                made = []
-                for key, text in zip(part.column("tk").to_pylist(), part.column("text").to_pylist()):
-                    words = tokens(text)
-                    ids, place, buckets = voc.look_up(words)
-                    rare = None
-                    if key not in seen:
-                        if len(seen) < COUNTED:
-                            seen.add(key)
-                        rare = [{"word": w, "n": n} for w, n in Counter([words[i] for i in np.flatnonzero(place < 0).tolist()]).items()]
-                    base = voc.kept_log[place].sum() + end_log - len(ids) * voc.base_log
-                    rest = voc.kept_rest[place].sum() - sum([voc.bucket_log[b] for b in buckets])
-                    made.append((ids.tobytes(), len(ids), len(place) - len(buckets) + (voc.end_count > 0), base, rest, rare))
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type)
-                columns = [pa.array([m[i] for m in made], kind) for i, kind in enumerate(kinds)]
+                rows = part.num_rows
+                n, words, at = split(part.column("text"))
+                ids, kept, log, rest = voc.look_up(words.to_pylist())
+                text = np.repeat(np.arange(rows), n)
+                sums = [np.bincount(text, x[at], minlength=rows).astype(float) for x in (kept, log, rest)]  # of no words: integers
+                ends = np.cumsum(n + 1)
+                stream = np.full(int(ends[-1]), voc.end, np.int16)  # each text's words, and the end behind them
+                stream[np.arange(len(at)) + text] = ids[at]
+                offsets = 2 * np.concatenate(([0], ends))
+                streams = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(stream)]).cast(pa.binary())
+
+                new = np.zeros(rows, bool)
+                for i, key in enumerate(part.column("tk").to_pylist()):
+                    new[i] = key not in seen
+                    if len(seen) < COUNTED:
+                        seen.add(key)
+                wanted = np.flatnonzero(~kept[at] & new[text])
+                pairs, times = np.unique(text[wanted] * len(words) + at[wanted], return_counts=True)
+                which, word = np.divmod(pairs, max(1, len(words)))
+                rare = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(times, pa.int32())], fields=list(rare_type.value_type))
+                cuts = np.searchsorted(which, np.arange(rows + 1)).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(cuts), rare, type=rare_type, mask=pa.array(~new))
+
+                base = sums[1] + end_log - (n + 1) * voc.base_log
+                known = sums[0].astype(np.int64) + (voc.end_count > 0)
+                columns = [streams, pa.array(n + 1, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(sums[2]), lists]
                 yield pa.RecordBatch.from_arrays([*part.drop_columns(["text"]).columns, *columns], names=schema.names)
 
     return docs.mapInArrow(run, schema)

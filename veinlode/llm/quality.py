@@ -34,6 +34,8 @@ from veinlode.llm.common import WORD, forget, free_names, stash, table
 
 MIN_WORDS = 20
 WINDOW = 8
+#: Sizes of the halves that windows are put together from.
+_HALVES = (1, 2, 4)
 #: Share of repeated words above which a text fails, in percent.
 MAX_REPEATED = 30
 BUCKETS = 10_000
@@ -68,14 +70,16 @@ def _neighbours(items: Column, same) -> Column:
 def with_repeats(df: DataFrame, word: str, out: str) -> DataFrame:
     """``df`` with ``out``: words of the array column ``word`` inside windows that occur twice or more.
 
-    Windows whose first hash occurs once are dropped by sorting hashes; the rest is told apart by a second hash. Their
+    Windows whose first hash, made of those of its halves, occurs once are dropped by sorting hashes; the rest is told
+    apart by a second hash of its words. Their
     sorted places cover as many words as the gaps between them, eight at most each.
     """
     keys, pairs, places = free_names(df, "keys_", "pairs_", "places_")
     w = F.col(word)
-    n = F.size(w)
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn(keys, F.transform(starts, lambda i: F.xxhash64(F.slice(w, i, WINDOW))))
+    df = df.withColumn(keys, F.transform(w, lambda x: F.xxhash64(x)))
+    for size in _HALVES:  # hashes of 2, 4 and 8 words; the last ones of a text, which run over its end, go afterwards
+        df = df.withColumn(keys, F.zip_with(F.col(keys), F.slice(keys, size + 1, F.greatest(F.size(keys), F.lit(1))), lambda a, b: F.xxhash64(a, b)))
+    df = df.withColumn(keys, F.slice(keys, 1, F.greatest(F.size(keys) - (WINDOW - 1), F.lit(0))))
     numbered = F.transform(F.col(keys), lambda k, i: F.struct(k.alias("k"), i.alias("i")))
     repeated = F.size(F.array_distinct(F.col(keys))) < F.size(F.col(keys))
     df = df.withColumn(pairs, F.when(repeated, F.array_sort(numbered)))
